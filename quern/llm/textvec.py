@@ -15,7 +15,7 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = np.uint64(0xD1B54A32D192ED03)
+_SALT = np.uint64(0xD1B54A32D192ED03) * np.arange(16, dtype=np.uint64)
 CHUNK_BYTES = 1 << 20
 
 _pow = np.ones(1, np.uint64)
@@ -98,7 +98,7 @@ class Words:
         out[: len(h)] = h
         for d in np.flatnonzero((n > 0) & (n < k)):
             a, b = self.first[d], self.first[d + 1]
-            out[a] = mix(np.add.reduce(self.hash[a:b] * _STEP[: b - a], keepdims=True) ^ (_SALT * np.uint64(b - a)))[0]
+            out[a] = mix(np.add.reduce(self.hash[a:b] * _STEP[: b - a], keepdims=True) ^ _SALT[b - a])[0]
         return out[keep], first
 
 
