@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from .licenses import op8_license_scan
+from .minhash import op1_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .pieces import op5_sentencepiece
+from .quality import op3_quality_classifier
+from .urls import op10_url_filter
 
 
 def queries():
     """Query name to a function of (spark, sf_dir)."""
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_sentencepiece": op5_sentencepiece,
+        "op8_license_scan": op8_license_scan,
+        "op10_url_filter": op10_url_filter,
     }
 
 
