@@ -6,7 +6,8 @@ piece before it in the encoding of the two pieces' joined string (found by re-me
 kept per pair). A place from which nothing fits is marked in a bit field and never tried again.
 
 No piece of the vocabulary crosses from a non-space into a space or a line feed, so texts are
-cut there, and each distinct chunk is encoded once per worker and kept, up to a fixed number.
+cut there, and chunks again wherever two neighbours stand side by side in no piece. Each distinct
+chunk is encoded once per worker and kept, up to a fixed number.
 Runs of several spaces take the merge procedure itself, as the space pieces share one score.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 250_000
 KEPT_LENGTH = 48
-ROWS = 512
+ROWS = 256
 
 
 class PieceModel:
@@ -48,12 +50,16 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("pieces must not run from a character into a space or a line feed")
         self.letters = {c for p in self.ids for c in p}
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: All symbols that can be: the pieces, and characters that only stand inside of some.
+        self.symbols = [*self.ids, *sorted(self.letters - self.ids.keys())]
+        self.sizes = [len(p) for p in self.symbols]
+        self.coded = [[self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()] for p in self.symbols]
         self.find = ahocorasick.Automaton()
-        for p in self.ids:
-            self.find.add_word(p, len(p))
+        for k, p in enumerate(self.symbols):
+            self.find.add_word(p, k)
         self.find.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """The merge procedure: the best-scored adjacent pair first, the leftmost of equals."""
@@ -79,56 +85,51 @@ class PieceModel:
                 heapq.heappush(heap, (-score[x], before[i], x))
         return [s for s in symbols if s is not None]
 
-    def fits(self, left: str | None, right: str) -> bool:
-        """Do the two stand side by side in the encoding of their joined string?"""
-        ok = self.whole.get(right)
-        if ok is None:
-            ok = self.whole[right] = self.merge(right) == [right]
-        if not ok or left is None:
-            return ok
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= KEPT_CHUNKS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(left + right) == [left, right]
+    def fits(self, left: int, right: int) -> bool:
+        """Do the two symbols stand side by side in the encoding of their joined string? left -1: does right alone?"""
+        x, y = self.symbols[left] if left >= 0 else "", self.symbols[right]
+        if len(self.pairs) >= KEPT_CHUNKS:
+            self.pairs.clear()
+        ok = self.pairs[left << 20 | right] = self.merge(x + y) == ([x, y] if x else [y])
         return ok
 
-    def backtrack(self, text: str) -> list[str]:
-        """The pieces of a run of known characters."""
-        n = len(text)
-        sizes: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.find.iter(text):
-            sizes[end - size + 1].append(size)  # from short to long
-        for i in range(n):
-            if not sizes[i] or sizes[i][0] != 1:
-                sizes[i].insert(0, 1)  # a character is always a symbol
+    def backtrack(self, text: str) -> list[int]:
+        """The symbols of a run of known characters, by number."""
+        n, sizes, pairs = len(text), self.sizes, self.pairs
+        found: list[list[int]] = [[] for _ in range(n)]
+        for end, k in self.find.iter(text):
+            found[end - sizes[k] + 1].append(k)  # from short to long
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        begin, k = 0, len(sizes[0]) - 1
-        chosen: list[int] = []
+        out: list[int] = []
+        tried: list[int] = []
+        begin, last, c = 0, -1, len(found[0]) - 1
         while begin < n:
-            last = out[-1] if out else None
-            while k >= 0:
-                end = begin + sizes[begin][k]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits(last, text[begin:end]):
-                    break
-                k -= 1
-            if k >= 0:
-                out.append(text[begin:end])
-                chosen.append(k)
-                begin = end
-                k = len(sizes[begin]) - 1 if begin < n else 0
+            here = found[begin]
+            while c >= 0:
+                k = here[c]
+                end = begin + sizes[k]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    ok = pairs.get(last << 20 | k)
+                    if self.fits(last, k) if ok is None else ok:
+                        break
+                c -= 1
+            if c >= 0:
+                out.append(k)
+                tried.append(c)
+                begin, last = end, k
+                c = len(found[begin]) - 1 if begin < n else 0
             else:
                 failed[begin >> 3] |= 1 << (begin & 7)
-                if not out:
-                    raise AssertionError("no encoding")
-                begin -= len(out.pop())
-                k = chosen.pop() - 1
+                begin -= sizes[out.pop()]
+                c = tried.pop() - 1
+                last = out[-1] if out else -1
         return out
 
     def encode_chunk(self, text: str) -> list[int]:
         """Ids of one chunk, its spaces already escaped."""
+        coded = self.coded
+        if self.letters.issuperset(text) and SPACE * 2 not in text:
+            return [i for k in self.backtrack(text) for i in coded[k]]
         out: list[int] = []
         at = 0
         while at < len(text):
@@ -137,9 +138,11 @@ class PieceModel:
                 to += 1
             if to > at:
                 run = text[at:to]
-                for p in self.merge(run) if SPACE * 2 in run else self.backtrack(run):
-                    i = self.ids.get(p)
-                    out.extend([i] if i is not None else [self.bytes[b] for b in p.encode()])
+                if SPACE * 2 in run:
+                    for p in self.merge(run):
+                        out.extend([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])
+                else:
+                    out.extend(i for k in self.backtrack(run) for i in coded[k])
             if to < len(text):
                 out.extend(self.bytes[b] for b in text[to].encode())
                 to += 1
@@ -148,17 +151,28 @@ class PieceModel:
 
 
 class _Chunks(dict):
-    """Chunk to packed ids, made when first asked for; cleared when full."""
+    """Chunk to packed ids, made when first asked for. Full, it becomes the old half; what is asked for again comes back."""
 
-    def __init__(self, model: PieceModel, prefix: str):
-        self.model, self.prefix = model, prefix
+    def __init__(self, model: PieceModel, prefix: str, rest: _Chunks | None = None):
+        self.model, self.prefix, self.rest = model, prefix, self if rest is None else rest
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.model.encode_chunk(self.prefix + chunk), np.int32).tobytes()
-        if len(chunk) <= KEPT_LENGTH:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-            self[chunk] = ids
+        ids = self.old.get(chunk)
+        if ids is None:
+            full, inner = self.prefix + chunk, self.model.inner
+            cuts = [i for i in range(1, len(full)) if full[i - 1 : i + 1] not in inner]
+            if cuts:
+                ends = [*cuts[1:], len(full)]
+                ids = self[full[len(self.prefix) : cuts[0]]] + b"".join([self.rest[full[a:b]] for a, b in zip(cuts, ends)])
+            else:
+                ids = array("i", self.model.encode_chunk(full)).tobytes()
+            if len(chunk) > KEPT_LENGTH:
+                return ids
+        if len(self) >= KEPT_CHUNKS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
         return ids
 
 
@@ -169,7 +183,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.spaced, self.bare = _Chunks(self.model, SPACE), _Chunks(self.model, "")
+        self.bare = _Chunks(self.model, "")
+        self.spaced = _Chunks(self.model, SPACE, self.bare)
         self.line = np.array([self.model.bytes[10]], np.int32).tobytes()
 
     @classmethod
@@ -204,11 +219,12 @@ class Encoder:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text, exactly as the model's own library encodes it.
+def encode_documents(docs: DataFrame, model_path: str, *, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>[, decoded]) of every whole text, exactly as the model's own library encodes it.
 
-    A null or empty text gives an empty array; a null id stays; repeated rows stay repeated;
-    other columns are not read. Texts of any length are encoded whole, in bounded batches.
+    decoded adds what the ids decode to, in the same pass. A null or empty text gives an empty
+    array; a null id stays; repeated rows stay repeated; other columns are not read. Texts of any
+    length are encoded whole, in bounded batches.
     """
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -219,11 +235,13 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
                 part = batch.slice(at, ROWS)
                 packed = [encoder.encode(t) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
+                cols = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+                if decoded:
+                    cols.append(pa.array([encoder.decode(np.frombuffer(p, np.int32)) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, ["id", "ids", *["decoded"] * decoded])
 
     kind = one.schema["id"].dataType.simpleString()
-    return one.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return one.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -248,8 +266,7 @@ def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    both = decode_documents(encode_documents(docs, path), path)
-    return both.select(
+    return encode_documents(docs, path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
