@@ -11,8 +11,6 @@ each again of bounded size.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,26 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .textvec import LOWER, as_bytes, chunks, laid_out
+from .tokenruns import RunTable, load, split_runs
 
 GROUP_ROWS = 8192
-KEPT_WORDS = 400_000
-KEPT_LENGTH = 48
-ROWS = 512
-_TAIL = re.compile(r"(.*[^\W\d_])([.,])", re.DOTALL)
+CHUNK = 4 << 20
+_GAP, _MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \n", b".,", b"abcdefghijklmnopqrstuvwxyz"))
 
 
 class WordTokens:
-    """Ids of a tokenizer whose tokens never cross a space or a line feed, kept per word."""
+    """Ids of a lower-casing tokenizer whose tokens never cross a space or a line feed, nor from a letter into a mark."""
 
     _kept: dict[str, WordTokens] = {}
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kept: dict[str, bytes] = {"": b""}
+        tok = load(path)
+        ends = np.zeros(tok.get_vocab_size() + 1, bool)
+        for token, i in tok.get_vocab().items():
+            ends[i] = token.endswith("</w>")
+        cut = lambda ids: np.concatenate([[0], np.flatnonzero(ends[ids]) + 1])
+        self.table = RunTable(lambda words: split_runs(tok, [w.decode() for w in words], " ".join, cut))
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -50,31 +48,22 @@ class WordTokens:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed little-endian uint32 ids of each whole text."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*split) - self.kept.keys()
-        tails = {w: m.groups() for w in new if (m := _TAIL.fullmatch(w))}  # a letter run and a mark are encoded apart
-        stems = {x for pair in tails.values() for x in pair}
-        todo = list(((new - tails.keys()) | stems) - self.kept.keys())
-        if len(self.kept) + len(new) + len(todo) > KEPT_WORDS:
-            self.kept = {"": b""}
-            todo = list(set().union(*split) - {""})
-            tails = {}
-        made = {}
-        for at in range(0, len(todo), 4096):
-            for w, x in zip(todo[at : at + 4096], self.tok.encode_batch_fast(todo[at : at + 4096], add_special_tokens=False)):
-                made[w] = np.array(x.ids, "<u4").tobytes()
-        look = self.kept | made if len(made) > len(self.kept) else self.kept
-        if look is self.kept:
-            look.update(made)
-        for w, (a, b) in tails.items():
-            look[w] = look[a] + look[b]
-        self.kept = look
-        out = [b"".join(map(look.__getitem__, words)) for words in split]
-        for w in [w for w in new if len(w) > KEPT_LENGTH]:
-            look.pop(w, None)
-        return out
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each whole text, int32."""
+        raw, begins = laid_out(texts)
+        raw = LOWER[raw]
+        inside = ~_GAP[raw]
+        mark = _MARK[raw]
+        mark[1:] &= _LETTER[raw[:-1]]  # a mark after a letter and before a gap stands alone
+        mark[0] = False
+        mark[:-1] &= ~inside[1:]
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1] | mark[1:]
+        closes[:-1] &= ~inside[1:] | mark[1:]
+        at, to = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        ids, sizes = self.table.runs(raw, at, to)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(at, begins)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,25 +73,24 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, en
     than the sequence is cut into full pieces and a last one. Null ids and repeated rows stay.
     """
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    close = np.array([end_id], "<u4").tobytes()
+    close = np.array([end_id], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens.of(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at, part in chunks(as_bytes(batch.column(1)), CHUNK):
                 rows, piece, start, size, crc, ids = [], [], [], [], [], []
-                for i, packed in enumerate(words.encode(part.column(1).to_pylist())):
-                    packed += close
-                    for k, b in enumerate(range(0, len(packed), 4 * length)):
-                        cut = packed[b : b + 4 * length]
-                        rows.append(i), piece.append(k), start.append(b // 4), size.append(len(cut) // 4), crc.append(zlib.crc32(cut))
+                for i, run in enumerate(words.encode(part)):
+                    packed = np.concatenate([run, close]).astype("<u4")
+                    for k, b in enumerate(range(0, len(packed), length)):
+                        cut = packed[b : b + length]
+                        rows.append(at + i), piece.append(k), start.append(b), size.append(len(cut)), crc.append(zlib.crc32(cut))
                         if with_ids:
                             ids.append(cut)
-                cols = [part.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+                cols = [batch.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
                     ends = np.cumsum([0, *size]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     kind = one.schema["id"].dataType.simpleString()

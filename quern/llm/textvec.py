@@ -45,8 +45,25 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
+
+def hash_spans(raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the non-empty byte spans at..to, in ascending order and without overlap."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    lens = to - at
+    before = np.cumsum(lens) - lens
+    place = np.arange(int(before[-1] + lens[-1])) - np.repeat(before, lens)
+    value = _BYTE[raw[np.repeat(at, lens) + place]] * _powers(int(lens.max()))[place]
+    return mix(np.add.reduceat(value, before) + lens.astype(np.uint64))
+
+
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as one byte array, a space after each, and where each begins (and the end)."""
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    return np.frombuffer(b" ".join([*texts, b""]), np.uint8), np.concatenate([[0], np.cumsum(sizes + 1)])
 
 
 class Words:
@@ -57,24 +74,14 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], delimiters: np.ndarray = SPACES):
-        sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-        raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-        begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-        raw = _LOWER[raw]
-        inside = ~delimiters[raw]
-        edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]).astype(np.int8))
+        raw, begins = laid_out(texts)
+        raw = LOWER[raw]
+        edge = np.diff(np.concatenate([[0], (~delimiters[raw]).view(np.int8), [0]]).astype(np.int8))
         at, to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        lens = to - at
         self.first = np.searchsorted(at, begins)
         owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.start, self.end = at - begins[owner], to - begins[owner]
-        if len(at):
-            before = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            place = np.arange(int(lens.sum())) - np.repeat(before, lens)
-            value = _BYTE[raw[inside]] * _powers(int(lens.max()))[place]
-            self.hash = mix(np.add.reduceat(value, before) + lens.astype(np.uint64))
-        else:
-            self.hash = np.empty(0, np.uint64)
+        self.hash = hash_spans(raw, at, to)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word shingles and each document's first (total at the end).
