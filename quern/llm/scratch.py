@@ -7,7 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: So many rows of a few numbers each may be broadcast.
+BROADCAST_ROWS = 500_000
 _roots: dict[str, SparkSession] = {}
 
 
@@ -44,6 +47,11 @@ class Scratch:
             _delete(self.spark, f"{self.root}/{name}")
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of few rows, counted first, is broadcast; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 @atexit.register
 def _clean() -> None:
     for root, spark in _roots.items():
