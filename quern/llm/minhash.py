@@ -7,10 +7,11 @@ are candidates if they share a table key, that is at least two half keys. m foll
 threshold and the miss probability of a pair that lies exactly on it.
 
 Copies of one set are folded first. Half keys that occur once in the corpus can't meet anything and
-go before the pairs of half keys are formed; tables' buckets with the same members count once. Every
-candidate link is then confirmed on full sets, in two rounds: each bucket's members against
-its smallest member, and, where that leaves a bucket in several components, all of its members
-in blocks of bounded size.
+go before the pairs of half keys are formed; tables' buckets with the same members count once.
+Buckets that share documents make a cluster, and all links within a cluster are confirmed on full
+sets. A large cluster is first thinned out: each bucket's members are held against its smallest
+member. Where that leaves it in several components, its documents are dealt into blocks of bounded size and
+all pairs of blocks are compared, but not those within its largest component.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, few
 from .textvec import Words, as_bytes, chunks, mix
 
-BLOCK = 128
+BLOCK = 512
+SLAB = 8192
 _MUL = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -100,22 +102,58 @@ def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted distinct arrays."""
+    n = len(sets)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number) > 1  # only what two sets have can count
+    column = (np.cumsum(shared) - 1)[number]
+    keep = shared[number]
+    owner, column = owner[keep], column[keep]
+    out = np.zeros((n, n), np.float64)
+    for at in range(0, int(shared.sum()), SLAB):
+        a, b = np.searchsorted(column, [at, at + SLAB])
+        m = np.zeros((n, min(SLAB, int(column[b - 1]) - at + 1)), np.float32)
+        m[owner[a:b], column[a:b] - at] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _joins(doc: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], across: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components; across: only those from side to side."""
+    if len(doc) == 2:
+        return [(doc[1], doc[0])] if comp[0] != comp[1] and _similar(sets[0], sets[1], percent) else []
+    both, size = overlaps(sets), np.array([len(s) for s in sets])
+    ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    ok &= comp[:, None] != comp[None, :]
+    if across:
+        ok &= side[:, None] != side[None, :]
+    found, comp = [], comp.copy()
+    for x, y in zip(*np.nonzero(np.triu(ok, 1))):
+        if comp[x] != comp[y]:
+            found.append((doc[y], doc[x]))
+            comp[comp == comp[y]] = comp[x]
+    return found
+
+
 def _confirm_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links that join different components, from rows (key, i, j, side, doc, comp, set) of block pairs."""
+    """Links that join different components, from rows (grp, i, j, side, cluster, doc, comp, set); i and j are the blocks that meet."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc")
-        doc, comp, side = pdf["doc"].to_numpy(), pdf["comp"].to_numpy().copy(), pdf["side"].to_numpy()
+        pdf = pdf.sort_values(["cluster", "doc"], kind="stable")
+        across = bool(pdf["i"].iloc[0] != pdf["j"].iloc[0])
+        doc, comp, side, cluster = (pdf[c].to_numpy() for c in ("doc", "comp", "side", "cluster"))
         sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        alone, found = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]), []
-        for x in range(len(doc)):
-            for y in range(x + 1, len(doc)):
-                if comp[x] != comp[y] and (alone or side[x] != side[y]) and _similar(sets[x], sets[y], percent):
-                    found.append((doc[y], doc[x]))
-                    comp[comp == comp[y]] = comp[x]
+        edges = [0, *(np.flatnonzero(cluster[1:] != cluster[:-1]) + 1), len(cluster)]
+        found = [x for a, b in zip(edges, edges[1:]) if b - a > 1 for x in _joins(doc[a:b], comp[a:b], side[a:b], sets[a:b], across, percent)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, percent: int = 80, shingle: int = 5, band: int = 2, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,32 +183,44 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, percent: int = 80, shi
     tables = scratch.table(tables, "tables")
     buckets = tables.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("doc"), F.lit(1 << 40))).alias("print"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     buckets = buckets.groupBy("n", "print", "low").agg(F.min("key").alias("key"))
-    members = scratch.table(tables.join(buckets, "key").select("key", "n", "doc", "low"), "members")
+    members = scratch.table(tables.join(buckets, "key").select("doc", "low"), "members")
     scratch.drop("tables")
 
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
+    pairs = members.filter("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = scratch.table(pairs, "pairs")
+    scratch.drop("members")
+    clusters = components(pairs, scratch, "clusters").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    large = scratch.table(clusters.groupBy("cluster").count().filter(F.col("count") > BLOCK).select("cluster"), "large")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [s.tobytes() for s in _sets(as_bytes(batch.column(1)), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "set"])
 
+    wanted = few(clusters.select(F.col("doc").alias("doc_id")))
     sets = scratch.table(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(as_sets, "doc_id long, set binary"), "sets")
 
-    pairs = members.filter("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct()
-    stars = scratch.table(_confirm_pairs(pairs, sets, percent), "stars")
-    comp = components(stars, scratch, "cc1")
-
-    # buckets that still hold several components and members that have not been held against each other
-    placed = members.filter("n > 2").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "n", "doc", F.coalesce("component", "doc").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("size")).filter("x < y").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(open_keys, "key").withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") <= F.col("other")).alias("side"), "doc", "comp")
-    rows = rows.join(sets.withColumnRenamed("doc_id", "doc"), "doc")
-    more = scratch.table(_confirm_blocks(rows, percent), "more")
-    if more.limit(1).count():
-        comp = components(stars.unionAll(more), scratch, "cc2")
+    in_large = clusters.join(large, "cluster", "left_semi").select(F.col("doc").alias("a"))
+    stars = scratch.table(_confirm_pairs(pairs.join(in_large, "a", "left_semi"), sets, percent), "stars")
+    thinned = components(stars, scratch, "thinned").withColumnRenamed("node", "doc")
+
+    # what of a cluster is not yet one component; block numbers below `small` hold all but its largest component
+    placed = scratch.table(clusters.join(thinned, "doc", "left").select("cluster", "doc", F.coalesce("component", "doc").alias("comp")), "placed")
+    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", "n").alias("giant")).filter("comps > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    alone = F.col("n") <= BLOCK
+    sizes = sizes.select("cluster", "giant", alone.alias("alone"), F.when(alone, 1).otherwise(blocks(F.col("n") - F.col("top"))).alias("small"), F.when(alone, 0).otherwise(blocks(F.col("top"))).alias("rest"))
+    rows = placed.join(scratch.table(sizes, "sizes"), "cluster")
+    bins = max(1, placed.count() // BLOCK)
+    rows = rows.withColumn("grp", F.when(F.col("alone"), -1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")))
+    rows = rows.withColumn("at", F.when((F.col("comp") == F.col("giant")) & (F.col("rest") > 0), F.col("small") + F.pmod(F.xxhash64("doc"), F.greatest("rest", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc"), F.col("small"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(F.col("at") < F.col("small"), F.col("small") + F.col("rest")).otherwise(F.col("small")).cast("int") - 1)
+    rows = rows.withColumn("other", F.explode(meets))
+    rows = rows.select("grp", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") <= F.col("other")).alias("side"), "cluster", "doc", "comp")
+    more = scratch.table(_confirm_blocks(rows.join(sets.withColumnRenamed("doc_id", "doc"), "doc"), percent), "more")
+    comp = components(stars.unionAll(more), scratch, "linked")
+    scratch.drop("sets", "pairs", "placed")
 
     of_set = reps.select(*digest, "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select(*digest, F.coalesce("component", "doc").alias("component_id"))
     out = sig.select("doc_id", *digest).join(of_set, digest, "left")
