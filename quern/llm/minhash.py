@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, few
-from .textvec import Words, as_bytes, chunks, mix
+from .textvec import Words, as_bytes, chunks, mix, release
 
 BLOCK = 512
-SLAB = 8192
+SLAB = 4096
 _MUL = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -151,6 +151,7 @@ def _confirm_blocks(rows: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
         edges = [0, *(np.flatnonzero(cluster[1:] != cluster[:-1]) + 1), len(cluster)]
         found = [x for a, b in zip(edges, edges[1:]) if b - a > 1 for x in _joins(doc[a:b], comp[a:b], side[a:b], sets[a:b], across, percent)]
+        release()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")

@@ -25,7 +25,7 @@ from .textvec import LOWER, as_bytes, chunks, laid_out
 from .tokenruns import RunTable, load, split_runs
 
 GROUP_ROWS = 8192
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _GAP, _MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \n", b".,", b"abcdefghijklmnopqrstuvwxyz"))
 
 

@@ -55,8 +55,10 @@ def hash_spans(raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     lens = to - at
     before = np.cumsum(lens) - lens
-    place = np.arange(int(before[-1] + lens[-1])) - np.repeat(before, lens)
-    value = _BYTE[raw[np.repeat(at, lens) + place]] * _powers(int(lens.max()))[place]
+    small = np.int32 if len(raw) < 2**31 else np.int64
+    place = np.arange(int(before[-1] + lens[-1]), dtype=small) - np.repeat(before.astype(small), lens)
+    value = _BYTE[raw[np.repeat(at.astype(small), lens) + place]]
+    value *= _powers(int(lens.max()))[place]
     return mix(np.add.reduceat(value, before) + lens.astype(np.uint64))
 
 
@@ -109,6 +111,19 @@ class Words:
         return out[keep], first
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks and stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of documents of about so many bytes each, with the index of the first."""
     begin, held = 0, 0
@@ -119,6 +134,7 @@ def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, l
             begin, held = i + 1, 0
     if begin < len(texts):
         yield begin, texts[begin:]
+    release()
 
 
 def as_bytes(column) -> list[bytes]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .textvec import as_bytes, chunks, laid_out
 from .tokenruns import RunTable, load, split_runs
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 RULES = ("majority", "first", "last", "split")
 #: UTF-8 of the white space above ASCII (or what it starts with); texts that hold it are encoded in one piece.
 _WIDE_SPACE = ("\x85".encode(), "\xa0".encode(), " ".encode(), b"\xe2\x80", " ".encode(), "　".encode())
