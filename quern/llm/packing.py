@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 from .textvec import LOWER, as_bytes, chunks, laid_out
 from .tokenruns import RunTable, load, split_runs
 
@@ -141,13 +141,15 @@ def _round(pieces: DataFrame, groups: int, salt: int, capacity: int) -> DataFram
 
 
 def pack_pieces(pieces: DataFrame, scratch: Scratch, *, capacity: int = 4096, group_rows: int = GROUP_ROWS, wide: float = 0.01, name: str = "pack") -> DataFrame:
-    """Adds sequence_id and offset to pieces (any columns, with length).
+    """Adds sequence_id and offset to pieces (any columns, with length; columns of these two names are replaced).
 
     Every row is packed once, repeated rows too. Gapless offsets from 0 in every sequence. Lengths
     must lie between 1 and the capacity. An empty table gives an empty result.
     """
-    keyed = scratch.table(pieces.withColumn("key", F.monotonically_increasing_id()), f"{name}_keyed")
-    left, parts, salt = keyed.select("key", "length"), [], 1
+    pieces = pieces.drop("sequence_id", "offset")
+    own = fresh("key", pieces.columns)
+    keyed = scratch.table(pieces.withColumn(own, F.monotonically_increasing_id()), f"{name}_keyed")
+    left, parts, salt = keyed.select(F.col(own).alias("key"), "length"), [], 1
     n = left.count()
     while True:
         groups = max(1, -(-n // group_rows))
@@ -162,7 +164,7 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, *, capacity: int = 4096, gr
     placed = parts[0]
     for p in parts[1:]:
         placed = placed.unionAll(p)
-    return keyed.join(placed.select("key", "sequence_id", "offset"), "key").drop("key")
+    return keyed.join(placed.select(F.col("key").alias(own), "sequence_id", "offset"), own).drop(own)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -47,6 +47,14 @@ class Scratch:
             _delete(self.spark, f"{self.root}/{name}")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or the name with underscores after it, that no column has."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of few rows, counted first, is broadcast; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df

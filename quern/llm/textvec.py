@@ -18,16 +18,15 @@ _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _SALT = np.uint64(0xD1B54A32D192ED03) * np.arange(16, dtype=np.uint64)
 CHUNK_BYTES = 1 << 20
 
-_pow = np.ones(1, np.uint64)
+_pow = {+1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> np.ndarray:
-    """The first n powers of the base, grown by doubling."""
-    global _pow
-    while len(_pow) < n:
-        step = np.uint64(pow(int(_BASE), len(_pow), 2**64))
-        _pow = np.concatenate([_pow, _pow * step])
-    return _pow
+def _powers(n: int, sign: int = 1) -> np.ndarray:
+    """The first n powers of the base or of its inverse, grown by doubling."""
+    while len(_pow[sign]) < n:
+        step = np.uint64(pow(int(_BASE), sign * len(_pow[sign]), 2**64))
+        _pow[sign] = np.concatenate([_pow[sign], _pow[sign] * step])
+    return _pow[sign]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -111,6 +110,20 @@ class Words:
         return out[keep], first
 
 
+def runs_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-word runs, for any k, and each document's first (total at the end)."""
+    total = len(words.hash)
+    n = np.diff(words.first)
+    count = np.maximum(n - k + 1, 0)
+    first = np.concatenate([[0], np.cumsum(count)])
+    if not first[-1]:
+        return np.empty(0, np.uint64), first
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * _powers(total)[:total], dtype=np.uint64)])
+    owner = np.repeat(np.arange(len(n)), count)
+    at = np.arange(int(first[-1])) - first[owner] + words.first[owner]
+    return mix((sums[at + k] - sums[at]) * _powers(total, -1)[at] ^ _SALT[k % 16]), first
+
+
 def release() -> None:
     """Give freed memory back to the system: workers live on between tasks and stages."""
     import ctypes

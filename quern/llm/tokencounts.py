@@ -147,7 +147,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, sections: DataFrame |
         raise ValueError(f"rule must be one of {RULES}")
     one = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = one.schema["doc_id"].dataType.simpleString()
-    if sections is not None:
+    with_spans = sections is not None
+    if with_spans:
         spans = sections.select(F.col("doc_id").alias("owner"), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("section").cast("int").alias("section")).alias("s"))
         spans = spans.dropna(subset=["owner", "s.start", "s.end", "s.section"]).groupBy("owner").agg(F.sort_array(F.collect_list("s")).alias("spans"))
         one = one.join(spans, one["doc_id"] == spans["owner"], "left").select("doc_id", "text", "spans")
@@ -156,7 +157,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, sections: DataFrame |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenSizes.of(tokenizer_path)
         for batch in batches:
-            given = batch.column(2).to_pylist() if sections is not None else None
+            given = batch.column(2).to_pylist() if with_spans else None
             for at, part in chunks(as_bytes(batch.column(1)), CHUNK):
                 cols: list[list] = [[] for _ in names]
                 for i, sizes in enumerate(tokens.encode(part)):
