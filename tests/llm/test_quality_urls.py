@@ -1,0 +1,104 @@
+"""Quality scores on held-out rows, url rules and trees."""
+
+import random
+
+import numpy as np
+from quern.llm.quality import FEATURES, features, fit, score_documents
+from quern.llm.urls import Trees, judge
+
+
+def corpus(spark, n=300, seed=4):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        w = [f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.randrange(9) or ''}" for _ in range(60)]
+        bad = rng.random() < 0.3
+        if bad:
+            w = [rng.choice([x.upper() + "!!", x + "###", w[0]]) for x in w]
+        rows.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, 0 if bad else 1, 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_held_out_accuracy(spark, scratch):
+    docs, labels = corpus(spark)
+    out = score_documents(docs, labels, scratch).join(labels, "doc_id").filter("held_out").collect()
+    assert len(out) > 30
+    assert np.mean([r.predicted == r.quality for r in out]) >= 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
+
+
+def test_hard_rows(spark, scratch, hard_docs):
+    labels = spark.createDataFrame([(1, 1), (8, 0), (8, 1), (6, 0), (None, 1), (9, None), (77, 0)], "doc_id long, quality int")
+    out = score_documents(hard_docs, labels, scratch).collect()
+    assert len(out) == hard_docs.count() and all(0 <= r.score <= 1 for r in out)
+    assert len({r.score for r in out if r.doc_id in (3, 4, 5)}) == 1
+
+
+def test_without_labels(spark, scratch, hard_docs, no_docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.predicted for r in score_documents(hard_docs, none, scratch, name="a").collect()} == {1}
+    assert score_documents(no_docs, none, scratch, name="b").count() == 0
+
+
+def test_features_are_per_document():
+    texts = [b"One two\nthree three three", b"", b"A|B | c!! 99", b"one"]
+    together = features(texts)
+    assert together.shape == (4, len(FEATURES)) and np.isfinite(together).all() and not together[1].any()
+    for i, t in enumerate(texts):
+        assert np.allclose(features([t])[0], together[i])
+
+
+def test_fit_prefers():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] - x[:, 1] + 0.1 * rng.normal(size=400) > 0).astype(int)
+    mean, scale, w, cut = fit(x, y)
+    assert w[0] > 0 > w[1] and np.mean((((x - mean) / scale) @ w >= cut) == y) > 0.95
+
+
+def test_trees():
+    rng = np.random.default_rng(1)
+    x = rng.uniform(size=(2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    p = Trees().fit(x[:1500], y[:1500]).probability(x[1500:])
+    assert np.mean((p > 0.5) == y[1500:]) > 0.95
+    assert (Trees().fit(x[:0], y[:0]).probability(x) == 0.5).all()
+    assert np.isfinite(Trees().fit(x[:3], np.ones(3)).probability(x)).all()
+
+
+URLS = {
+    "http://a.example.net/fr/1": ("a.example.net", "/fr/1", "net/", "block"),
+    "https://EXAMPLE.net/en/x?y=/z": ("example.net", "/en/x", "example.net/en/", "allow"),
+    "http://notexample.com/de/": ("notexample.com", "/de/", None, None),
+    "http://m.example.com/de/": ("m.example.com", "/de/", "example.com/de/", "block"),
+    "http://b.org/fr/": ("b.org", "/fr/", "org/fr/", "allow"),
+    "http://org/fr": ("org", "/fr", None, None),
+    "ftp://x.net": ("x.net", "", None, None),
+    "x://net/": ("net", "/", "net/", "block"),
+    "http://a#b/c": ("a", "", None, None),
+    "http://a?u=http://b.net/": ("a", "", None, None),
+    "no scheme": ("", "", None, None),
+    "://": ("", "", None, None),
+    "": ("", "", None, None),
+    None: ("", "", None, None),
+}
+
+
+def test_rules(spark, scratch):
+    rows = [(i, u, "x") for i, u in enumerate(URLS)] + [(0, next(iter(URLS)), "again"), (None, "http://q.net/", None)]
+    out = judge(spark.createDataFrame(rows, "page_id long, url string, host string"), scratch).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        want = URLS[list(URLS)[r.page_id]] if r.page_id is not None else ("q.net", "/", "net/", "block")
+        assert (r.host, r.path, r["rule"]) == want[:3] and r.verdict in ("allow", "block")
+        assert want[3] is None or r.verdict == want[3]
+    assert judge(spark.createDataFrame([], "page_id long, url string"), scratch).count() == 0
+
+
+def test_learns_from_labelled_urls(spark, scratch):
+    rng = random.Random(2)
+    rows = [(f"http://{'spam' if bad else 'site'}{rng.randrange(50)}.{'biz' if bad else 'edu'}/{'x1' * rng.randrange(4, 9) if bad else 'page'}", "block" if bad else "allow") for bad in (rng.random() < 0.5 for _ in range(300))]
+    known = spark.createDataFrame(rows[:200], "url string, verdict string")
+    out = judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[200:])], "page_id long, url string"), scratch, rules={}, labelled=known).collect()
+    assert np.mean([r.verdict == rows[200 + r.page_id][1] for r in out]) > 0.95
