@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textvec import SYMBOLS, Words, as_bytes, chunks
 
 #: Phrase and label of the base scan.
@@ -121,7 +122,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: list[
     largest containment found, else 0. blocks lists (template, first word, words, containment). A null
     text counts as empty; null ids and repeated rows stay; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = corpus_counts(docs, [w for _, t in templates for w in words_of(t)])
     sought = [(words_of(p), label) for p, label in phrases.items()]
 

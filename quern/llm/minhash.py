@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, few
+from .scratch import Scratch, few, small_batches
 from .textvec import Words, as_bytes, chunks, mix, release
 
 BLOCK = 512
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, percent: int = 80, shi
     null component, kept. Rows that repeat an id come out as often, each judged by its own text.
     An empty table gives an empty result; other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     m = half_keys(percent / 100, band, miss)
     keys = [f"h{j}" for j in range(m)]
     sig = scratch.table(signatures(docs, shingle=shingle, m=m, band=band), "sig")

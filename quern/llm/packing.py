@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, fresh
+from .scratch import Scratch, fresh, small_batches
 from .textvec import LOWER, as_bytes, chunks, laid_out
 from .tokenruns import RunTable, load, split_runs
 
@@ -72,7 +72,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, en
     A document is its tokens and then end_id; a null or empty text is end_id alone. A run longer
     than the sequence is cut into full pieces and a last one. Null ids and repeated rows stay.
     """
-    one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    one = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     close = np.array([end_id], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

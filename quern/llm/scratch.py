@@ -3,26 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.workspace import shared_dir
+
 #: So many rows of a few numbers each may be broadcast.
 BROADCAST_ROWS = 500_000
 _roots: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -47,6 +39,17 @@ class Scratch:
             _delete(self.spark, f"{self.root}/{name}")
 
 
+def small_batches(df: DataFrame, limit: str = "8m") -> DataFrame:
+    """Texts go to Python in batches of 8 MB; a limit that the session has set itself stays.
+
+    A row is never split, so one very long text makes a batch of its own.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":  # Spark's default
+        conf.set(key, limit)
+    return df
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """The name, or the name with underscores after it, that no column has."""
     used = {c.lower() for c in taken}

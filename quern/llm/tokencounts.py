@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textvec import as_bytes, chunks, laid_out
 from .tokenruns import RunTable, load, split_runs
 
@@ -145,7 +146,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, sections: DataFrame |
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    one = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    one = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = one.schema["doc_id"].dataType.simpleString()
     with_spans = sections is not None
     if with_spans:
