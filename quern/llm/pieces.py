@@ -14,7 +14,6 @@ Runs of several spaces take the merge procedure itself, as the space pieces shar
 from __future__ import annotations
 
 import heapq
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -23,10 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+from .textvec import as_bytes, chunks, laid_out
+from .tokenruns import RunTable
+
 SPACE = "▁"
 KEPT_CHUNKS = 250_000
 KEPT_LENGTH = 48
 ROWS = 256
+CHUNK = 2 << 20
+_LETTER = np.isin(np.arange(256), np.frombuffer(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]), np.uint8))
 
 
 class PieceModel:
@@ -151,22 +156,20 @@ class PieceModel:
 
 
 class _Chunks(dict):
-    """Chunk to packed ids, made when first asked for. Full, it becomes the old half; what is asked for again comes back."""
+    """Chunk to packed ids, made when first asked for, from parts no piece can join. Full, it becomes the old half; what is asked for again comes back."""
 
-    def __init__(self, model: PieceModel, prefix: str, rest: _Chunks | None = None):
-        self.model, self.prefix, self.rest = model, prefix, self if rest is None else rest
+    def __init__(self, model: PieceModel):
+        self.model = model
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            full, inner = self.prefix + chunk, self.model.inner
-            cuts = [i for i in range(1, len(full)) if full[i - 1 : i + 1] not in inner]
+            inner = self.model.inner
+            cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in inner]
             if cuts:
-                ends = [*cuts[1:], len(full)]
-                ids = self[full[len(self.prefix) : cuts[0]]] + b"".join([self.rest[full[a:b]] for a, b in zip(cuts, ends)])
-            else:
-                ids = array("i", self.model.encode_chunk(full)).tobytes()
+                return b"".join([self[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)])])
+            ids = array("i", self.model.encode_chunk(chunk)).tobytes()
             if len(chunk) > KEPT_LENGTH:
                 return ids
         if len(self) >= KEPT_CHUNKS // 2:
@@ -177,15 +180,17 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """Whole texts to packed int32 ids."""
+    """Whole texts to ids and back."""
 
     _kept: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.bare = _Chunks(self.model, "")
-        self.spaced = _Chunks(self.model, SPACE, self.bare)
-        self.line = np.array([self.model.bytes[10]], np.int32).tobytes()
+        self.chunks = _Chunks(self.model)
+        self.table = RunTable(lambda words: [np.frombuffer(self.chunks[w.decode().replace(" ", SPACE)], np.int32) for w in words])
+        self.mark = np.zeros(256, bool)  # marks that no piece joins to a letter before them
+        for m in ".,;:!?":
+            self.mark[ord(m)] = not any(chr(c) + m in self.model.inner for c in (*range(0x41, 0x5B), *range(0x61, 0x7B)))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -193,25 +198,30 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        text = " " + text
-        if SPACE in text:
-            text = text.replace(SPACE, " ")  # the library escapes spaces to this character, so the two are one
-        out: list[bytes] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(self.line)
-            words = line.split(" ")
-            if "" in words[1:]:
-                for c in re.findall(r" +[^ ]*|[^ ]+", line):
-                    out.append(self.bare[c.replace(" ", SPACE)])
-                continue
-            if words[0]:
-                out.append(self.bare[words[0]])
-            out.extend(map(self.spaced.__getitem__, words[1:]))
-        return b"".join(out)
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each whole text, int32."""
+        escaped = SPACE.encode()
+        # a text gets a space before it; spaces are escaped to a character, so in a text the two are one
+        raw, begins = laid_out([b" " + (t.replace(escaped, b" ") if escaped in t else t) if t else b"" for t in texts])
+        last = np.zeros(len(raw), bool)
+        last[begins[1:] - 1] = True  # the space after each text is no part of it
+        space, line = raw == 32, raw == 10
+        opens = space.copy()
+        opens[1:] &= ~space[:-1] | last[:-1]
+        opens |= line
+        opens[1:] |= line[:-1]
+        mark = np.zeros(len(raw), bool)
+        mark[1:-1] = self.mark[raw[1:-1]] & _LETTER[raw[:-2]] & (space[2:] | line[2:])
+        opens = (opens | mark) & ~last
+        at = np.flatnonzero(opens)
+        to = np.concatenate([at[1:], [len(raw)]])
+        to = np.minimum(to, (begins[1:] - 1)[np.searchsorted(begins, at, side="right") - 1]) if len(at) else to[:0]
+        ids, sizes = self.table.runs(raw, at, to)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(at, begins)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([(text or "").encode()])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces joined, bytes read as UTF-8, without the leading space of the first piece."""
@@ -226,18 +236,17 @@ def encode_documents(docs: DataFrame, model_path: str, *, decoded: bool = False,
     array; a null id stays; repeated rows stay repeated; other columns are not read. Texts of any
     length are encoded whole, in bounded batches.
     """
-    one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    one = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                packed = [encoder.encode(t) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-                cols = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+            for at, part in chunks(as_bytes(batch.column(1)), CHUNK):
+                ids = encoder.encode_all(part)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                cols = [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
                 if decoded:
-                    cols.append(pa.array([encoder.decode(np.frombuffer(p, np.int32)) for p in packed], pa.string()))
+                    cols.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, ["id", "ids", *["decoded"] * decoded])
 
     kind = one.schema["id"].dataType.simpleString()
@@ -246,7 +255,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, decoded: bool = False,
 
 def decode_documents(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded) of encoded documents; null ids decode to the empty string."""
-    one = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    one = small_batches(encoded).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(model_path)
