@@ -17,6 +17,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.uint64(0xD1B54A32D192ED03) * np.arange(16, dtype=np.uint64)
 CHUNK_BYTES = 1 << 20
+STRETCH = 4 << 20
 
 _pow = {+1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
@@ -49,10 +50,18 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def hash_spans(raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the non-empty byte spans at..to, in ascending order and without overlap."""
+    """64-bit hashes of the non-empty byte spans at..to, in ascending order and without overlap.
+
+    A long text is worked off in stretches, so what is held per byte stays small.
+    """
     if not len(at):
         return np.empty(0, np.uint64)
     lens = to - at
+    ends = np.cumsum(lens)
+    if ends[-1] > STRETCH and len(at) > 1:
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(STRETCH, ends[-1], STRETCH)), len(at)])
+        if len(cuts) > 2:
+            return np.concatenate([hash_spans(raw[at[a] : to[b - 1]], at[a:b] - at[a], to[a:b] - at[a]) for a, b in zip(cuts[:-1], cuts[1:])])
     before = np.cumsum(lens) - lens
     small = np.int32 if len(raw) < 2**31 else np.int64
     place = np.arange(int(before[-1] + lens[-1]), dtype=small) - np.repeat(before.astype(small), lens)

@@ -89,3 +89,11 @@ def test_word_places():
     raw = [t.encode() for t in texts]
     owner = np.repeat(np.arange(4), np.diff(w.first))
     assert [raw[o][a:b].decode() for o, a, b in zip(owner, w.start, w.end)] == ["Ab", "cd", "Éf", "x", "a", "b"]
+
+
+def test_stretches(monkeypatch):
+    """Long texts hash the same whether or not they are worked off in stretches."""
+    text = [" ".join(f"word{i}" * (i % 7 + 1) for i in range(3000)).encode(), b"", b"x" * 5000, b"a b"]
+    whole = Words(text).hash
+    monkeypatch.setattr("quern.llm.textvec.STRETCH", 100)
+    assert (Words(text).hash == whole).all()
