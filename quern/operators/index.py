@@ -48,8 +48,9 @@ class Index:
 
 
 def analyzed(docs: DataFrame, config: IndexConfig = IndexConfig(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, docno, tokens, doc_len) of documents that have a token; ids keep their order and name."""
-    one = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("docno"), tokens_of(F.col(text_col), config.removed).alias("tokens"))
+    """(doc_id, docno, tokens, doc_len) of documents that have a token; docno is the id as text where docs has none."""
+    docno = F.col("docno") if "docno" in docs.columns else F.col(id_col).cast("string")
+    one = docs.select(F.col(id_col).alias("doc_id"), docno.alias("docno"), tokens_of(F.col(text_col), config.removed).alias("tokens"))
     return one.withColumn("doc_len", F.size("tokens").cast("long")).filter("doc_id is not null and doc_len > 0")
 
 
