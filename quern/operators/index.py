@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, scoring
 from ..functions.analysis import STOPWORDS, tokens_of, truncated
 from ..functions.stemmer import vocabulary
+from .spread import spread
 
 SKIP_THRESHOLD = 1024  # Fixed value: from so many documents on, a term's list has skip blocks
 
@@ -50,7 +51,8 @@ class Index:
 def analyzed(docs: DataFrame, config: IndexConfig = IndexConfig(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, docno, tokens, doc_len) of documents that have a token; docno is the id as text where docs has none."""
     docno = F.col("docno") if "docno" in docs.columns else F.col(id_col).cast("string")
-    one = docs.select(F.col(id_col).alias("doc_id"), docno.alias("docno"), tokens_of(F.col(text_col), config.removed).alias("tokens"))
+    raw = spread(docs.select(F.col(id_col).alias("doc_id"), docno.alias("docno"), F.col(text_col).alias("text")))
+    one = raw.select("doc_id", "docno", tokens_of(F.col("text"), config.removed).alias("tokens"))
     return one.withColumn("doc_len", F.size("tokens").cast("long")).filter("doc_id is not null and doc_len > 0")
 
 
@@ -156,7 +158,7 @@ def save(index: Index, path: str) -> Index:
     spark = index.postings.sparkSession
     spark.createDataFrame([(json.dumps(asdict(index.config)),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
     index.doc_table.write.mode("overwrite").parquet(f"{path}/doc_table")
-    index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    stats_of(spark.read.parquet(f"{path}/doc_table")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
     postings, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
     dictionary_of(postings, stats).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")

@@ -17,7 +17,7 @@ from . import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 SWS = ix.IndexConfig(stopwords_and_stemming=True)
-SMALL = ix.IndexConfig(skip_threshold=64)  # the usual threshold is seldom reached in small tables
+SMALL = ix.IndexConfig(skip_threshold=64, compression=True)  # the usual threshold is seldom reached in small tables
 
 COMMON, ALL_OF, LONG = "nter thatin that", "the that orre", "thatin thatinthatinthatinthatinthatin"
 UNKNOWN, TWICE, STEMS = "nter nosuchtermhere", "nter nter thatin nter", "the nters of ering thatin"
@@ -165,8 +165,8 @@ blocks AS (SELECT term, floor(spot / ceil(sqrt(df)))::BIGINT AS block_no, max(do
 SELECT * FROM blocks"""
 
 
-_add("skip_blocks", lambda s, d: _lazy(s, d).skip_blocks, _blocks_sql(ix.SKIP_THRESHOLD))
-_add("skip_blocks_64", lambda s, d: _lazy(s, d, SMALL).skip_blocks, _blocks_sql(64))
+_add("skip_blocks", lambda s, d: _index(s, d).skip_blocks, _blocks_sql(ix.SKIP_THRESHOLD))
+_add("skip_blocks_64", lambda s, d: _index(s, d, SMALL).skip_blocks, _blocks_sql(64))
 _add("index_saved", lambda s, d: _index(s, d).postings, f"{_base()} SELECT * FROM postings")
 _add("postings_sws", lambda s, d: _lazy(s, d, SWS).postings, f"{_base(True)} SELECT * FROM postings")
 _add("pages_index", lambda s, d: ix.build_index(s.read.parquet(f"{d}/pages.parquet"), id_col="page_id", text_col="html").postings, f"{_base(False, 'pages', 'page_id', 'html')} SELECT * FROM postings")
@@ -228,13 +228,13 @@ _add(
 
 
 def _sizes(s: SparkSession, d: str) -> DataFrame:
-    made = _lazy(s, d, SMALL)
+    made = _index(s, d, SMALL)
     rows = ix.blocked(made.postings, made.dictionary, 64).groupBy("term", "block_no").agg(codecs.unary_size(F.sum("tf")).alias("u"), F.sum(codecs.vbyte_size(F.col("doc_id") + 1)).alias("v"))
     return rows.groupBy("term").agg(F.sum("u").alias("unary_bytes"), F.sum("v").alias("vbyte_bytes"))
 
 
 def _written(s: SparkSession, d: str) -> DataFrame:
-    made = ix.build_index(_docs(s, d), ix.IndexConfig(skip_threshold=64, compression=True))
+    made = _index(s, d, SMALL)
     return made.compressed.groupBy("term").agg(F.sum(F.length("tf_bytes")).cast("long").alias("unary_bytes"), F.sum(F.length("doc_bytes")).cast("long").alias("vbyte_bytes"))
 
 
@@ -243,7 +243,7 @@ b AS (SELECT term, CASE WHEN df >= 64 THEN floor(spot / ceil(sqrt(df))) ELSE 0 E
 SELECT term, sum(ceil(bits / 8)::BIGINT + CASE WHEN bits % 8 = 0 THEN 0 ELSE 1 END)::BIGINT AS unary_bytes, sum(v)::BIGINT AS vbyte_bytes FROM b GROUP BY term"""
 _add("codec_sizes", _sizes, _SIZE_SQL)
 _add("codec_bytes_written", _written, _SIZE_SQL)
-_add("codec_roundtrip", lambda s, d: ix.decompressed(ix.build_index(_docs(s, d), ix.IndexConfig(skip_threshold=64, compression=True)).compressed), f"{_base()} SELECT term, doc_id, tf FROM postings")
+_add("codec_roundtrip", lambda s, d: ix.decompressed(_index(s, d, SMALL).compressed), f"{_base()} SELECT term, doc_id, tf FROM postings")
 
 
 def queries() -> dict[str, Query]:

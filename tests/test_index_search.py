@@ -93,7 +93,7 @@ def test_stopwords_and_stemming(spark):
 
 
 def test_invariants(tables):
-    dictionary, postings = tables.dictionary.cache(), tables.postings.cache()
+    dictionary, postings = tables.dictionary, tables.postings
     stats = tables.stats.first()
     sums = dictionary.agg(F.sum("cf"), F.sum("df"), F.min("df"), F.max("df"), F.min(F.col("cf") - F.col("df"))).first()
     assert sums[0] == stats.total_len and sums[1] == postings.count() and 1 <= sums[2] <= sums[3] <= stats.n_docs - 1 and sums[4] >= 0
@@ -154,7 +154,7 @@ def test_next_geq(spark, tables):
 
 def test_pruned_scan(tables):
     plan = search(tables, "the of")._jdf.queryExecution().toString()
-    assert re.search(r"postings\], PartitionFilters: \[\], PushedFilters: \[[^]]*term", plan), plan
+    assert re.search(r"PushedFilters: \[[^\n]*term[^\n]*ReadSchema: struct<term:string,doc_id:bigint,tf", plan), plan
 
 
 def test_sources_and_runs(spark, small, tmp_path):
@@ -188,3 +188,11 @@ def test_load(spark, small, tmp_path):
     with pytest.raises(FileNotFoundError):
         ix.load(spark, f"file://{tmp_path}/none")
     assert small.config == ix.IndexConfig()
+
+
+def test_spread(spark, sf_dir):
+    from quern.operators.spread import spread
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(docs).count() == docs.count()
+    assert spread(spark.range(10**9)).rdd.getNumPartitions() == spark.range(10**9).rdd.getNumPartitions()
