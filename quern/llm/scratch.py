@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from ..plans.workspace import shared_dir
 
 #: So many rows of a few numbers each may be broadcast.
@@ -40,14 +41,14 @@ class Scratch:
 
 
 def small_batches(df: DataFrame, limit: str = "8m") -> DataFrame:
-    """Texts go to Python in batches of 8 MB; a limit that the session has set itself stays.
+    """Texts go to Python in batches of 8 MB, and to all cores; a limit that the session has set itself stays.
 
     A row is never split, so one very long text makes a batch of its own.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key) == "67108864b":  # Spark's default
         conf.set(key, limit)
-    return df
+    return spread(df)
 
 
 def fresh(name: str, taken: list[str]) -> str:
