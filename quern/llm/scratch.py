@@ -21,6 +21,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def thrifty_workers(spark: SparkSession) -> None:
+    """Python workers that start from now on return large blocks of memory as soon as they are freed; settings that are there stay."""
+    for key, value in (("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        spark.sparkContext.environment.setdefault(key, value)
+
+
 class Scratch:
     """Written tables of one run; what is no longer needed can go early, the rest goes at exit."""
 
@@ -28,6 +34,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
         _roots[self.root] = spark
+        thrifty_workers(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Cut the lineage: write, then read what was written."""
@@ -40,11 +47,12 @@ class Scratch:
             _delete(self.spark, f"{self.root}/{name}")
 
 
-def small_batches(df: DataFrame, limit: str = "8m") -> DataFrame:
-    """Texts go to Python in batches of 8 MB, and to all cores; a limit that the session has set itself stays.
+def small_batches(df: DataFrame, limit: str = "4m") -> DataFrame:
+    """Texts go to Python in batches of 4 MB, and to all cores; a limit that the session has set itself stays.
 
     A row is never split, so one very long text makes a batch of its own.
     """
+    thrifty_workers(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key) == "67108864b":  # Spark's default
         conf.set(key, limit)

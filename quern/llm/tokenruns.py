@@ -14,7 +14,7 @@ import numpy as np
 
 from .textvec import hash_spans
 
-KEPT = 600_000
+KEPT = 400_000
 AT_ONCE = 4096
 
 
