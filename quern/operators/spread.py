@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SMALL_BYTES = 256 << 20
+SMALL_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out anew if it is small and, by its estimated size, has fewer input partitions than the session has cores.
 
-    For work that is heavy per row, such as the analysis of texts. Beyond 256 MB an input stays as it is, whatever the cores.
+    For work that is heavy per row, such as the analysis of texts. Beyond 32 MB an input stays as it is, whatever the cores.
     """
     state = df.sparkSession._jsparkSession.sessionState()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
