@@ -187,3 +187,12 @@ def test_align_splits_at_wide_gaps():
     x = np.arange(200)
     y = np.concatenate([np.arange(60), np.arange(1000, 1100), np.arange(60, 200)])
     assert align(x, y, [(5, 5), (100, 200)], 5, 0.8) == [(0, 60, 0, 60, 60), (60, 200, 160, 300, 140)]
+
+
+@pytest.mark.parametrize("run, gap, more", [(60, 24, 12), (52, 24, 12), (50, 20, 5), (200, 24, 5)])
+def test_align_keeps_a_run_with_a_phrase_behind_it(run, gap, more):
+    x = np.arange(run + gap + more)
+    y = np.concatenate([np.arange(run), np.arange(1000, 1000 + gap), np.arange(run + gap, run + gap + more)])
+    for u, v, seeds in ((x, y, [(5, 5), (run + gap, run + gap)]), (x[::-1], y[::-1], [(0, 0), (more + gap + 3, more + gap + 3)])):
+        got = align(u, v, seeds, 5, 0.8)
+        assert any(b - a >= run and same >= 0.8 * max(b - a, d - c) for a, b, c, d, same in got)
