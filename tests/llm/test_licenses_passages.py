@@ -196,3 +196,20 @@ def test_align_keeps_a_run_with_a_phrase_behind_it(run, gap, more):
     for u, v, seeds in ((x, y, [(5, 5), (run + gap, run + gap)]), (x[::-1], y[::-1], [(0, 0), (more + gap + 3, more + gap + 3)])):
         got = align(u, v, seeds, 5, 0.8)
         assert any(b - a >= run and same >= 0.8 * max(b - a, d - c) for a, b, c, d, same in got)
+
+
+def covered(rows, found):
+    """Words of each document that stand in its passages."""
+    texts, spans = {i: t.encode() for i, t in rows}, {}
+    for r in found.collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    return {i: sum(any(a <= m.start() < b for a, b in s) for m in re.finditer(rb"\S+", texts[i])) for i, s in spans.items()}
+
+
+@pytest.mark.parametrize("size", [6, 31, 60, 400])
+def test_passages_of_long_words(spark, scratch, size):
+    rng = random.Random(size)
+    long = lambda n, tag: [f"{tag}{rng.randrange(10**6)}".ljust(size, "x") for _ in range(n)]
+    shared = long(52, "p") + long(200, "q")
+    rows = [(i, " ".join(long(150, f"a{i}_") + (shared[:52] if i < 4 else shared) + long(150, f"b{i}_"))) for i in (1, 2, 3, 5, 6)]
+    assert covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch)) == {2: 52, 3: 52, 5: 52, 6: 252}
