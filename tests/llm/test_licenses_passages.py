@@ -213,3 +213,26 @@ def test_passages_of_long_words(spark, scratch, size):
     shared = long(52, "p") + long(200, "q")
     rows = [(i, " ".join(long(150, f"a{i}_") + (shared[:52] if i < 4 else shared) + long(150, f"b{i}_"))) for i in (1, 2, 3, 5, 6)]
     assert covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch)) == {2: 52, 3: 52, 5: 52, 6: 252}
+
+
+def changed(rng, text, share):
+    """The words with so many of them replaced at random places."""
+    w = list(text)
+    for j in rng.sample(range(len(w)), round(share * len(w))):
+        w[j] = f"new{rng.randrange(10**6)}"
+    return w
+
+
+def test_fuzzy_passages_with_many_changes(spark, scratch):
+    rng = random.Random(11)
+    rows, n = [], 0
+    for size, share in [(50, 0.06), (50, 0.1), (60, 0.1), (60, 0.15), (100, 0.15)]:
+        for _ in range(40):
+            base = words(rng, size, f"s{n}_")
+            inner = base[:1] + changed(rng, base[1:-1], share) + base[-1:]
+            rows += [(n, " ".join(words(rng, 40, f"a{n}_") + base + words(rng, 40, f"b{n}_"))), (n + 1, " ".join(words(rng, 40, f"c{n}_") + inner + words(rng, 40, f"e{n}_")))]
+            n += 2
+    got = covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch))
+    found = [sum(i + 1 in got for i in range(a, a + 80, 2)) for a in range(0, n, 80)]
+    print(found)
+    assert min(found[2:]) >= 36 and not any(i in got for i in range(0, n, 2))
