@@ -236,3 +236,12 @@ def test_fuzzy_passages_with_many_changes(spark, scratch):
     found = [sum(i + 1 in got for i in range(a, a + 80, 2)) for a in range(0, n, 80)]
     print(found)
     assert min(found[2:]) >= 36 and not any(i in got for i in range(0, n, 2))
+
+
+def test_passages_that_stand_twice_in_a_document(spark, scratch):
+    rng = random.Random(12)
+    shared = words(rng, 50, "p")
+    rows = [(i, " ".join(shared[i * 5 : i * 5 + 9])) for i in range(10)]  # smaller ids have the short phrases
+    rows += [(20, " ".join(words(rng, 60, "a") + shared)), (21, " ".join(w for c in "bcde" for w in [*words(rng, 60, c), *shared]))]
+    got = covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch))
+    assert got == {21: 200}
