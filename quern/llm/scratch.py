@@ -46,6 +46,10 @@ class Scratch:
         for name in names:
             _delete(self.spark, f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of what has been written; it does so when the driver's JVM collects."""
+        self.spark._jvm.System.gc()
+
 
 def small_batches(df: DataFrame, limit: str = "4m") -> DataFrame:
     """Texts go to Python in batches of 4 MB, and to all cores; a limit that the session has set itself stays.

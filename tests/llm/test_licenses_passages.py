@@ -245,3 +245,14 @@ def test_passages_that_stand_twice_in_a_document(spark, scratch):
     rows += [(20, " ".join(words(rng, 60, "a") + shared)), (21, " ".join(w for c in "bcde" for w in [*words(rng, 60, c), *shared]))]
     got = covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch))
     assert got == {21: 200}
+
+
+def test_passages_with_partial_holders(spark, scratch):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for n in range(0, 200, 10):
+        p = words(rng, 60, f"p{n}_")
+        for i, part in enumerate([p[:49], p[:40], p[20:], p, p, p[5:]]):
+            rows.append((n + i, " ".join(words(rng, 30, f"a{n + i}_") + part + words(rng, 30, f"b{n + i}_"))))
+        want |= {n + 4: 60, n + 5: 55}
+    assert covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch)) == want
