@@ -55,6 +55,16 @@ def test_stems(spark):
     assert {r.w: r.s for r in vocabulary(df.unionAll(df), "w", "s").filter("s <> 'x'").collect()} == STEMS
 
 
+def test_stems_beside_clashing_columns(spark):
+    df = spark.createDataFrame([("hopping", "a", "b", "c", 1), (None, "a", "b", "c", 2), ("", None, None, None, 3)], "word string, w string, stem_step string, s string, `x ``y` int")
+    out = stem(df, "word", "S")
+    assert sorted(out.columns) == sorted(["word", "w", "stem_step", "x `y", "S"])
+    assert {(r.word, r.w, r.stem_step, r["x `y"], r.S) for r in out.collect()} == {("hopping", "a", "b", 1, "hop"), (None, "a", "b", 2, None), ("", None, None, 3, "")}
+    assert stem(df.limit(0), "word", "s").count() == 0 and [r.s for r in stem(df.filter("word = 'hopping'").select("word", "w"), "word", "s").collect()] == ["hop"]
+    with pytest.raises(ValueError):
+        vocabulary(df, "word", "word")
+
+
 def test_small_functions(spark):
     row = spark.createDataFrame([("a" * 30, 3661)], "t string, s long").select(truncated(F.col("t")).alias("t"), elapsed(F.col("s")).alias("e")).first()
     assert row.t == "a" * 20 and row.e == "01:01:01"
