@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, few, small_batches
-from .textvec import Words, as_bytes, chunks, mix, release
+from .scratch import Scratch, few, map_batches, map_groups, spread
+from .textvec import Words, mix, pieces_of, release
 
 BLOCK = 512
 SLAB = 4096
@@ -44,38 +44,35 @@ def half_keys(threshold: float, band: int, miss: float) -> int:
 
 def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """Each document's sorted distinct shingle hashes."""
-    for _, part in chunks(texts):
-        h, first = Words(part).shingles(k)
-        for a, b in zip(first[:-1], first[1:]):
-            yield np.unique(h[a:b])
+    h, first = Words(texts).shingles(k)
+    for a, b in zip(first[:-1], first[1:]):
+        yield np.unique(h[a:b])
 
 
 def signatures(docs: DataFrame, *, shingle: int, m: int, band: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, h0 .. h{m-1}): set size, set digest and half keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for at, part in chunks(as_bytes(batch.column(1))):
-                h, first = Words(part).shingles(shingle)
-                n = np.diff(first)
-                full = n > 0
-                size, d1, d2 = np.zeros(len(part), np.int64), np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
-                for i in np.flatnonzero(full):
-                    u = np.unique(h[first[i] : first[i + 1]])
-                    size[i], d1[i], d2[i] = len(u), np.add.reduce(u * _MUL[-1]), np.add.reduce(mix(u))
-                keys = np.zeros((m, len(part)), np.uint64)
-                if full.any():
-                    begins = first[:-1][full]
-                    for j in range(m):
-                        for b in range(band):
-                            low = np.minimum.reduceat(mix(h ^ _MUL[j * band + b]), begins)
-                            keys[j, full] = mix(keys[j, full] ^ (low * _MUL[-2]))
-                cols = [ids.slice(at, len(part)), pa.array(size), *(pa.array(x.view(np.int64)) for x in (d1, d2, *keys))]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for rows, part in pieces_of(batches):
+            h, first = Words(part).shingles(shingle)
+            n = np.diff(first)
+            full = n > 0
+            size, d1, d2 = np.zeros(len(part), np.int64), np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
+            for i in np.flatnonzero(full):
+                u = np.unique(h[first[i] : first[i + 1]])
+                size[i], d1[i], d2[i] = len(u), np.add.reduce(u * _MUL[-1]), np.add.reduce(mix(u))
+            keys = np.zeros((m, len(part)), np.uint64)
+            if full.any():
+                begins = first[:-1][full]
+                for j in range(m):
+                    for b in range(band):
+                        low = np.minimum.reduceat(mix(h ^ _MUL[j * band + b]), begins)
+                        keys[j, full] = mix(keys[j, full] ^ (low * _MUL[-2]))
+            cols = [rows.column(0), pa.array(size), *(pa.array(x.view(np.int64)) for x in (d1, d2, *keys))]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "n_shingles", "d1", "d2", *(f"h{j}" for j in range(m))]
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return map_batches(docs, run, ", ".join(f"{c} long" for c in names))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -99,7 +96,7 @@ def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             ok = [_similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return map_batches(pairs.join(sb, "b").join(sa, "a").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -154,7 +151,7 @@ def _confirm_blocks(rows: DataFrame, percent: int) -> DataFrame:
         release()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")
+    return map_groups(rows.sparkSession, rows.groupBy("grp", "i", "j"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, percent: int = 80, shingle: int = 5, band: int = 2, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +165,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, percent: int = 80, shi
     null component, kept. Rows that repeat an id come out as often, each judged by its own text.
     An empty table gives an empty result; other columns are not read.
     """
-    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     m = half_keys(percent / 100, band, miss)
     keys = [f"h{j}" for j in range(m)]
     sig = scratch.table(signatures(docs, shingle=shingle, m=m, band=band), "sig")
@@ -194,12 +191,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, percent: int = 80, shi
     large = scratch.table(clusters.groupBy("cluster").count().filter(F.col("count") > BLOCK).select("cluster"), "large")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [s.tobytes() for s in _sets(as_bytes(batch.column(1)), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "set"])
+        for rows, part in pieces_of(batches):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in _sets(part, shingle)], pa.binary())], ["doc_id", "set"])
 
     wanted = few(clusters.select(F.col("doc").alias("doc_id")))
-    sets = scratch.table(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(as_sets, "doc_id long, set binary"), "sets")
+    sets = scratch.table(map_batches(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]), as_sets, "doc_id long, set binary"), "sets")
 
     in_large = clusters.join(large, "cluster", "left_semi").select(F.col("doc").alias("a"))
     stars = scratch.table(_confirm_pairs(pairs.join(in_large, "a", "left_semi"), sets, percent), "stars")

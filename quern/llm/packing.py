@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, fresh, small_batches
-from .textvec import LOWER, as_bytes, chunks, laid_out
+from .scratch import Scratch, fresh, map_batches, map_groups, spread
+from .textvec import LOWER, laid_out, pieces_of
 from .tokenruns import RunTable, load, split_runs
 
 GROUP_ROWS = 8192
@@ -35,7 +35,7 @@ class WordTokens:
     _kept: dict[str, WordTokens] = {}
 
     def __init__(self, path: str):
-        tok = load(path)
+        tok, self.special = load(path)
         ends = np.zeros(tok.get_vocab_size() + 1, bool)
         for token, i in tok.get_vocab().items():
             ends[i] = token.endswith("</w>")
@@ -50,6 +50,10 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each whole text, int32."""
+        return self.special.around(texts, self.encode_plain)
+
+    def encode_plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts without special tokens."""
         raw, begins = laid_out(texts)
         raw = LOWER[raw]
         inside = ~_GAP[raw]
@@ -72,29 +76,28 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, length: int = 4096, en
     A document is its tokens and then end_id; a null or empty text is end_id alone. A run longer
     than the sequence is cut into full pieces and a last one. Null ids and repeated rows stay.
     """
-    one = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    one = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     close = np.array([end_id], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens.of(tokenizer_path)
-        for batch in batches:
-            for at, part in chunks(as_bytes(batch.column(1)), CHUNK):
-                rows, piece, start, size, crc, ids = [], [], [], [], [], []
-                for i, run in enumerate(words.encode(part)):
-                    packed = np.concatenate([run, close]).astype("<u4")
-                    for k, b in enumerate(range(0, len(packed), length)):
-                        cut = packed[b : b + length]
-                        rows.append(at + i), piece.append(k), start.append(b), size.append(len(cut)), crc.append(zlib.crc32(cut))
-                        if with_ids:
-                            ids.append(cut)
-                cols = [batch.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-                if with_ids:
-                    ends = np.cumsum([0, *size]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        for some, part in pieces_of(batches, size=CHUNK):
+            rows, piece, start, size, crc, ids = [], [], [], [], [], []
+            for i, run in enumerate(words.encode(part)):
+                packed = np.concatenate([run, close]).astype("<u4")
+                for k, b in enumerate(range(0, len(packed), length)):
+                    cut = packed[b : b + length]
+                    rows.append(i), piece.append(k), start.append(b), size.append(len(cut)), crc.append(zlib.crc32(cut))
+                    if with_ids:
+                        ids.append(cut)
+            cols = [some.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+            if with_ids:
+                ends = np.cumsum([0, *size]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     kind = one.schema["id"].dataType.simpleString()
-    out = one.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    out = map_batches(one, run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -137,7 +140,7 @@ def _round(pieces: DataFrame, groups: int, salt: int, capacity: int) -> DataFram
         seq, offset, gaps = pack(pdf["length"].to_numpy(), capacity)
         return pdf[["key", "length"]].assign(sequence_id=(salt << 56) + (pdf["grp"].to_numpy() << 24) + seq, offset=offset, gap=gaps[seq])
 
-    return dealt.groupBy("grp").applyInPandas(run, "key long, length long, sequence_id long, offset long, gap long")
+    return map_groups(dealt.sparkSession, dealt.groupBy("grp"), run, "key long, length long, sequence_id long, offset long, gap long")
 
 
 def pack_pieces(pieces: DataFrame, scratch: Scratch, *, capacity: int = 4096, group_rows: int = GROUP_ROWS, wide: float = 0.01, name: str = "pack") -> DataFrame:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
-from .textvec import as_bytes, chunks, laid_out
+from .scratch import map_batches, spread
+from .textvec import laid_out, pieces_of
 from .tokenruns import RunTable
 
 SPACE = "▁"
@@ -236,26 +236,25 @@ def encode_documents(docs: DataFrame, model_path: str, *, decoded: bool = False,
     array; a null id stays; repeated rows stay repeated; other columns are not read. Texts of any
     length are encoded whole, in bounded batches.
     """
-    one = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    one = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(model_path)
-        for batch in batches:
-            for at, part in chunks(as_bytes(batch.column(1)), CHUNK):
-                ids = encoder.encode_all(part)
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                cols = [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
-                if decoded:
-                    cols.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, ["id", "ids", *["decoded"] * decoded])
+        for rows, part in pieces_of(batches, size=CHUNK):
+            ids = encoder.encode_all(part)
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            cols = [rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+            if decoded:
+                cols.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["id", "ids", *["decoded"] * decoded])
 
     kind = one.schema["id"].dataType.simpleString()
-    return one.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
+    return map_batches(one, run, f"id {kind}, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded) of encoded documents; null ids decode to the empty string."""
-    one = small_batches(encoded).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    one = spread(encoded).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(model_path)
@@ -266,7 +265,7 @@ def decode_documents(encoded: DataFrame, model_path: str, *, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     kind = one.schema["id"].dataType.simpleString()
-    return one.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return map_batches(one, run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

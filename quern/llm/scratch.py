@@ -5,14 +5,20 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from ..operators.spread import spread
+from ..functions.names import fresh  # noqa: F401
+from ..operators.spread import spread  # noqa: F401
 from ..plans.workspace import shared_dir
 
-#: So many rows of a few numbers each may be broadcast.
-BROADCAST_ROWS = 500_000
+#: A written table of so many rows and so many bytes in its files, at most, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
+BATCH_BYTES = "4m"
 _roots: dict[str, SparkSession] = {}
 
 
@@ -21,10 +27,45 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def thrifty_workers(spark: SparkSession) -> None:
-    """Python workers that start from now on return large blocks of memory as soon as they are freed; settings that are there stay."""
+@contextmanager
+def _thrifty(spark: SparkSession) -> Iterator[None]:
+    """For what is set up inside: Python workers that return large blocks of memory as soon as they are freed. Settings that are there stay, others go again."""
+    env, added = spark.sparkContext.environment, []
     for key, value in (("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
-        spark.sparkContext.environment.setdefault(key, value)
+        if key not in env:
+            env[key] = value
+            added.append(key)
+    try:
+        yield
+    finally:
+        for key in added:
+            del env[key]
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow in thrifty workers."""
+    with _thrifty(df.sparkSession):
+        return df.mapInArrow(run, schema)
+
+
+def map_groups(spark: SparkSession, grouped: GroupedData | PandasCogroupedOps, run: Callable, schema: str) -> DataFrame:
+    """grouped.applyInPandas in thrifty workers."""
+    with _thrifty(spark):
+        return grouped.applyInPandas(run, schema)
+
+
+@contextmanager
+def _batches(spark: SparkSession) -> Iterator[None]:
+    """For the jobs inside, rows go to Python in batches of 4 MB; a limit that the session has set itself stays. A row is never split."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    ours = spark.conf.get(key) == "67108864b"  # Spark's default
+    if ours:
+        spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if ours:
+            spark.conf.unset(key)
 
 
 class Scratch:
@@ -34,12 +75,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
         _roots[self.root] = spark
-        thrifty_workers(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Cut the lineage: write, then read what was written."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with _batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -51,29 +92,10 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def small_batches(df: DataFrame, limit: str = "4m") -> DataFrame:
-    """Texts go to Python in batches of 4 MB, and to all cores; a limit that the session has set itself stays.
-
-    A row is never split, so one very long text makes a batch of its own.
-    """
-    thrifty_workers(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key) == "67108864b":  # Spark's default
-        conf.set(key, limit)
-    return spread(df)
-
-
-def fresh(name: str, taken: list[str]) -> str:
-    """The name, or the name with underscores after it, that no column has."""
-    used = {c.lower() for c in taken}
-    while name.lower() in used:
-        name += "_"
-    return name
-
-
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table of few rows, counted first, is broadcast; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """A written table of few rows and bytes, both looked up first, is broadcast; a larger one is left to a shuffled join."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df
 
 
 @atexit.register

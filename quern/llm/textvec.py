@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,6 +78,15 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join([*texts, b""]), np.uint8), np.concatenate([[0], np.cumsum(sizes + 1)])
 
 
+def word_places(texts: list[bytes], delimiters: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one lower-cased byte array, where each begins, each word's start and end in it, and the index of each text's first word."""
+    raw, begins = laid_out(texts)
+    raw = LOWER[raw]
+    edge = np.diff(np.concatenate([[0], (~delimiters[raw]).view(np.int8), [0]]).astype(np.int8))
+    at, to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return raw, begins, at, to, np.searchsorted(at, begins)
+
+
 class Words:
     """The words of a chunk of documents.
 
@@ -84,11 +95,7 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], delimiters: np.ndarray = SPACES):
-        raw, begins = laid_out(texts)
-        raw = LOWER[raw]
-        edge = np.diff(np.concatenate([[0], (~delimiters[raw]).view(np.int8), [0]]).astype(np.int8))
-        at, to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.first = np.searchsorted(at, begins)
+        raw, begins, at, to, self.first = word_places(texts, delimiters)
         owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.start, self.end = at - begins[owner], to - begins[owner]
         self.hash = hash_spans(raw, at, to)
@@ -137,8 +144,6 @@ def release() -> None:
     """Give freed memory back to the system: workers live on between tasks and stages."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -146,22 +151,22 @@ def release() -> None:
         pass
 
 
-def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of documents of about so many bytes each, with the index of the first."""
-    begin, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield begin, texts[begin : i + 1]
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, texts[begin:]
-    release()
+def pieces_of(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Every batch in slices of about so many bytes of text (a row is never split), with the texts of the slice; null counts as empty."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = min(int(np.searchsorted(ends, done + size)) + 1, batch.num_rows)
+            part = batch.slice(begin, end - begin)
+            yield part, as_bytes(part.column(column))
+            begin = end
+        release()
 
 
 def as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
-    import pyarrow as pa
-
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]

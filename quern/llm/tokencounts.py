@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
-from .textvec import as_bytes, chunks, laid_out
+from .scratch import map_batches, spread
+from .textvec import laid_out, pieces_of
 from .tokenruns import RunTable, load, split_runs
 
 CHUNK = 2 << 20
@@ -38,7 +38,8 @@ class TokenSizes:
     _kept: dict[str, TokenSizes] = {}
 
     def __init__(self, path: str):
-        self.tok = load(path)
+        self.tok, self.special = load(path)
+        self.special.values = {text: np.array([len(text)], np.int32) for text in self.special.ids}
         vocab = self.tok.get_vocab()
         self.size = np.zeros(max(vocab.values()) + 1, np.int32)
         spaced = np.zeros(len(self.size), bool)
@@ -73,6 +74,10 @@ class TokenSizes:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Lengths of every token of each whole text; they add up to the text's bytes."""
+        return self.special.around(texts, self.encode_plain)
+
+    def encode_plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Token lengths of texts without special tokens."""
         wide = [any(s in t for s in _WIDE_SPACE) for t in texts]
         raw, begins = laid_out([b"" if w else t for w, t in zip(wide, texts)])
         last = np.zeros(len(raw), bool)
@@ -146,7 +151,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, sections: DataFrame |
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    one = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    one = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = one.schema["doc_id"].dataType.simpleString()
     with_spans = sections is not None
     if with_spans:
@@ -157,33 +162,32 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, sections: DataFrame |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenSizes.of(tokenizer_path)
-        for batch in batches:
-            given = batch.column(2).to_pylist() if with_spans else None
-            for at, part in chunks(as_bytes(batch.column(1)), CHUNK):
-                cols: list[list] = [[] for _ in names]
-                for i, sizes in enumerate(tokens.encode(part)):
-                    if given is None:
-                        spans = lines(part[i])
-                        labels: list = list(range(len(spans)))
-                    else:
-                        spans, labels, low = [], [], 0
-                        for s in given[at + i] or ():
-                            a, b = max(s["start"], low), min(s["end"], len(part[i]))
-                            if a < b:
-                                spans.append((a, b)), labels.append(s["section"])
-                                low = b
-                    bounds = np.array(spans, np.int64).reshape(-1, 2)
-                    count, crossing, outside = allot(sizes, bounds[:, 0], bounds[:, 1], rule)
-                    n = len(labels)
-                    if outside > 1e-9 or not n:
-                        n, labels, spans = n + 1, [*labels, None], [*spans, (None, None)]
-                        count, crossing = np.append(count, outside), np.append(crossing, 0)
-                    for c, v in zip(cols, ([at + i] * n, labels, [s[0] for s in spans], [s[1] for s in spans], count.tolist(), crossing.tolist(), [len(sizes)] * n)):
-                        c.extend(v)
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], names)
-
-    out = one.mapInArrow(run, f"doc_id {kind}, section int, start long, end long, n_tokens double, n_crossing long, doc_tokens long")
+        for rows, part in pieces_of(batches, size=CHUNK):
+            given = rows.column(2).to_pylist() if with_spans else None
+            cols: list[list] = [[] for _ in names]
+            for i, sizes in enumerate(tokens.encode(part)):
+                if given is None:
+                    spans = lines(part[i])
+                    labels: list = list(range(len(spans)))
+                else:
+                    spans, labels, low = [], [], 0
+                    for s in given[i] or ():
+                        a, b = max(s["start"], low), min(s["end"], len(part[i]))
+                        if a < b:
+                            spans.append((a, b)), labels.append(s["section"])
+                            low = b
+                bounds = np.array(spans, np.int64).reshape(-1, 2)
+                count, crossing, outside = allot(sizes, bounds[:, 0], bounds[:, 1], rule)
+                n = len(labels)
+                if outside > 1e-9 or not n:
+                    n, labels, spans = n + 1, [*labels, None], [*spans, (None, None)]
+                    count, crossing = np.append(count, outside), np.append(crossing, 0)
+                for c, v in zip(cols, ([i] * n, labels, [s[0] for s in spans], [s[1] for s in spans], count.tolist(), crossing.tolist(), [len(sizes)] * n)):
+                    c.extend(v)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], names)
+
+    out = map_batches(one, run, f"doc_id {kind}, section int, start long, end long, n_tokens double, n_crossing long, doc_tokens long")
     if rule != "split":
         out = out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
     return out.withColumnRenamed("doc_id", id_col)

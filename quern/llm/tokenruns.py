@@ -8,6 +8,7 @@ the batch at hand does not use.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -18,14 +19,34 @@ KEPT = 400_000
 AT_ONCE = 4096
 
 
+class Special:
+    """A tokenizer's added tokens: their strings stand for one token each wherever they occur, and what lies between is encoded as a text of its own."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = {text.encode(): i for text, i in ids.items()}
+        self.values = {text: np.array([i], np.int32) for text, i in self.ids.items()}
+        self.pattern = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.ids, key=lambda t: (-len(t), t))) + b")") if ids else None
+
+    def around(self, texts: list[bytes], encode: Callable[[list[bytes]], list[np.ndarray]]) -> list[np.ndarray]:
+        """Runs of whole texts, from the runs that encode gives to texts without such strings."""
+        if self.pattern is None or not any(t in x for x in texts for t in self.ids):
+            return encode(texts)
+        cut = [self.pattern.split(x) for x in texts]  # every second part is a token's string
+        plain = iter(encode([p for parts in cut for p in parts[::2]]))
+        return [np.concatenate([next(plain) if i % 2 == 0 else self.values[p] for i, p in enumerate(parts)]) for parts in cut]
+
+
 def load(path: str):
-    """A tokenizer file, ready for worker processes; special tokens' strings in a text are ordinary text."""
+    """A tokenizer file, ready for worker processes, and its added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return tok
+    added = tok.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+        raise ValueError("added tokens that depend on what stands around them are not supported")
+    tok.encode_special_tokens = True  # Special finds them in the raw text; words that lower-casing makes equal to one are ordinary
+    return tok, Special({t.content: i for i, t in added.items()})
 
 
 def joined(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, map_groups
 
 LEAF = 64
 SHARD_ROWS = 8192
@@ -136,7 +136,7 @@ def top_k(rows: DataFrame, queries: DataFrame, scratch: Scratch, *, k: int = 5,
                     qid.append(q), rid.append(row), score.append(s)
             return pd.DataFrame({"query_id": qid, "vec_id": rid, "score": score}, dtype="int64")
 
-        return left.groupBy("d", "shard", "block").cogroup(right.groupBy("d", "shard", "block")).applyInPandas(run, kind)
+        return map_groups(left.sparkSession, left.groupBy("d", "shard", "block").cogroup(right.groupBy("d", "shard", "block")), run, kind)
 
     asked = queries.withColumn("block", hashed("query_id", blocks, 2)).withColumn("home", hashed("query_id", shards, 3))
     first = scratch.table(searched(asked.withColumn("floor", F.lit(None).cast("long")), F.array("home")), "first")
