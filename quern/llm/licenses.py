@@ -1,6 +1,7 @@
 """License scans: phrase places, and an exact containment join of text blocks with templates.
 
-A block is a line, or an overlapping run of words of a long line. Template t is found in a block if
+Blocks are overlapping runs of words over the whole text, whatever its line breaks, so long that each span of as many words
+as the longest template has lies within one. Template t is found in a block if
 |words of t in the block| >= threshold * |words of t| (distinct words). The join is exact and
 needs few comparisons: tokens are ordered by their frequency in the whole corpus, rarest first, so a block
 that holds enough of a template holds one of its first |t| - need + 1 tokens (prefix filter); blocks
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
-from .textvec import SYMBOLS, Words, as_bytes, chunks
+from .scratch import map_batches, spread
+from .textvec import SYMBOLS, Words, pieces_of
 
 #: Phrase and label of the base scan.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -36,7 +37,12 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("proprietary", "All rights reserved. No part of this work may be reproduced without permission"),
 ]
-BLOCK, STRIDE = 64, 32
+STRIDE = 32
+
+
+def stride_of(templates: list[tuple[str, str]]) -> int:
+    """Words from the start of a block to the next one's; a block is twice as long."""
+    return max([STRIDE, *(len(words_of(t)) for _, t in templates)])
 
 
 def words_of(text: str) -> list[bytes]:
@@ -68,11 +74,13 @@ class Join:
         for t, s in enumerate(self.sets):
             for p, x in enumerate(s[: len(s) - self.need[t] + 1]):
                 self.prefix.setdefault(x, []).append((t, p))
-        self.is_prefix = np.zeros(len(order) + 1, bool)
+        self.is_prefix = np.zeros(len(order) + 1, bool)  # the last place is that of rank -1
         self.is_prefix[list(self.prefix)] = True
 
     def rank(self, hashes: np.ndarray) -> np.ndarray:
         """Rank in the token order, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.ranks[at], -1)
 
@@ -101,15 +109,16 @@ def corpus_counts(docs: DataFrame, words: list[bytes], text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ordered), np.int64)
-        for batch in batches:
-            for _, part in chunks(as_bytes(batch.column(0))):
-                h = Words(part, SYMBOLS).hash
-                at = np.minimum(np.searchsorted(hashes[by], h), len(by) - 1)
-                total += np.bincount(by[at][hashes[by][at] == h], minlength=len(ordered))
+        for _, part in pieces_of(batches, 0):
+            h = Words(part, SYMBOLS).hash
+            at = np.minimum(np.searchsorted(hashes[by], h), len(by) - 1)
+            total += np.bincount(by[at][hashes[by][at] == h], minlength=len(ordered))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["word", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    if not ordered:
+        return {}
+    rows = map_batches(docs.select(text_col), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {ordered[r.word]: r.n for r in rows}
 
 
@@ -122,66 +131,61 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: list[
     largest containment found, else 0. blocks lists (template, first word, words, containment). A null
     text counts as empty; null ids and repeated rows stay; an empty table gives an empty result.
     """
-    docs = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = corpus_counts(docs, [w for _, t in templates for w in words_of(t)])
     sought = [(words_of(p), label) for p, label in phrases.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = Join(templates, counts, threshold)
+        join, stride = Join(templates, counts, threshold), stride_of(templates)
         hashes = [(_hash(p), p, label) for p, label in sought]
-        for batch in batches:
-            for at, part in chunks(as_bytes(batch.column(1))):
-                w = Words(part, SYMBOLS)
-                n = np.diff(w.first)
-                owner = np.repeat(np.arange(len(part)), n)
-                places: dict[int, list[tuple[int, str]]] = {}
-                for h, phrase, label in hashes:
-                    hit = np.ones(max(len(w.hash) - len(h) + 1, 0), bool)
-                    for j, x in enumerate(h):
-                        hit &= w.hash[j : j + len(hit)] == x
-                    for i in np.flatnonzero(hit):
-                        d = int(owner[i])
-                        if owner[i + len(h) - 1] == d and all(part[d][w.start[i + j] : w.end[i + j]].lower() == x for j, x in enumerate(phrase)):
-                            places.setdefault(d, []).append((int(i - w.first[d]), label))
-                ranks = join.rank(w.hash)
-                found: dict[int, list[tuple[int, int, int, float]]] = {}
-                done = set()
-                for i in np.flatnonzero(join.is_prefix[ranks]):
+        for rows, part in pieces_of(batches):
+            w = Words(part, SYMBOLS)
+            n = np.diff(w.first)
+            owner = np.repeat(np.arange(len(part)), n)
+            places: dict[int, list[tuple[int, str]]] = {}
+            for h, phrase, label in hashes:
+                hit = np.ones(max(len(w.hash) - len(h) + 1, 0), bool)
+                for j, x in enumerate(h):
+                    hit &= w.hash[j : j + len(hit)] == x
+                for i in np.flatnonzero(hit):
                     d = int(owner[i])
-                    a, b = int(w.first[d]), int(w.first[d + 1])
-                    line_from = part[d].rfind(b"\n", 0, int(w.start[i])) + 1
-                    line_to = part[d].find(b"\n", int(w.start[i]))
-                    lo = a + int(np.searchsorted(w.start[a:b], line_from))
-                    hi = a + int(np.searchsorted(w.start[a:b], line_to)) if line_to >= 0 else b
-                    k = int(i) - lo
-                    for begin in range(max(0, (k - BLOCK) // STRIDE + 1) * STRIDE, k + 1, STRIDE):
-                        x, y = lo + begin, min(lo + begin + BLOCK, hi)
-                        if y <= i or (x, y) in done:
-                            continue
-                        done.add((x, y))
-                        for t, c in join.find(ranks[x:y], y - x):
-                            found.setdefault(d, []).append((t, x - a, y - x, c))
-                base = [sorted({s for _, s in places.get(d, ())}) for d in range(len(part))]
-                own = [{join.labels[t] for t, *_ in found.get(d, ())} for d in range(len(part))]
-                starts = [[p for p, _ in places.get(d, ())] for d in range(len(part))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(part)),
-                        pa.array(n.astype(np.int64)),
-                        pa.array([len(s) for s in starts], pa.int64()),
-                        pa.array([min(s) if s else None for s in starts], pa.int64()),
-                        pa.array([max(s) if s else None for s in starts], pa.int64()),
-                        pa.array([",".join(b) for b in base], pa.string()),
-                        pa.array([",".join(sorted({*b, *o})) for b, o in zip(base, own)], pa.string()),
-                        pa.array([1.0 if b else max((x[3] for x in found.get(d, ())), default=0.0) for d, b in enumerate(base)], pa.float64()),
-                        pa.array([[dict(zip(("template", "first", "words", "containment"), x)) for x in found.get(d, ())] for d in range(len(part))], pa.list_(pa.struct([("template", pa.int32()), ("first", pa.int64()), ("words", pa.int32()), ("containment", pa.float64())]))),
-                    ],
-                    ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"],
-                )
+                    if owner[i + len(h) - 1] == d and all(part[d][w.start[i + j] : w.end[i + j]].lower() == x for j, x in enumerate(phrase)):
+                        places.setdefault(d, []).append((int(i - w.first[d]), label))
+            ranks = join.rank(w.hash)
+            found: dict[int, list[tuple[int, int, int, float]]] = {}
+            done = set()
+            for i in np.flatnonzero(join.is_prefix[ranks]):
+                d = int(owner[i])
+                a, b = int(w.first[d]), int(w.first[d + 1])
+                k = int(i) - a
+                for begin in range(max(0, (k - 2 * stride) // stride + 1) * stride, k + 1, stride):
+                    x, y = a + begin, min(a + begin + 2 * stride, b)
+                    if y <= i or x in done:
+                        continue
+                    done.add(x)
+                    for t, c in join.find(ranks[x:y], y - x):
+                        found.setdefault(d, []).append((t, x - a, y - x, c))
+            base = [sorted({s for _, s in places.get(d, ())}) for d in range(len(part))]
+            own = [{join.labels[t] for t, *_ in found.get(d, ())} for d in range(len(part))]
+            starts = [[p for p, _ in places.get(d, ())] for d in range(len(part))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0),
+                    pa.array(n.astype(np.int64)),
+                    pa.array([len(s) for s in starts], pa.int64()),
+                    pa.array([min(s) if s else None for s in starts], pa.int64()),
+                    pa.array([max(s) if s else None for s in starts], pa.int64()),
+                    pa.array([",".join(b) for b in base], pa.string()),
+                    pa.array([",".join(sorted({*b, *o})) for b, o in zip(base, own)], pa.string()),
+                    pa.array([1.0 if b else max((x[3] for x in found.get(d, ())), default=0.0) for d, b in enumerate(base)], pa.float64()),
+                    pa.array([[dict(zip(("template", "first", "words", "containment"), x)) for x in found.get(d, ())] for d in range(len(part))], pa.list_(pa.struct([("template", pa.int32()), ("first", pa.int64()), ("words", pa.int32()), ("containment", pa.float64())]))),
+                ],
+                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<template:int,first:long,words:int,containment:double>>"
-    return docs.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return map_batches(docs, run, schema).withColumnRenamed("doc_id", id_col)
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

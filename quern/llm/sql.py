@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BLOCK, PHRASES, STRIDE, TEMPLATES, words_of
+from .licenses import PHRASES, TEMPLATES, stride_of, words_of
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = """links AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs),
@@ -45,13 +45,12 @@ def licenses(threshold: float = 0.8) -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     templates = ", ".join(f"('{label}', {quoted(sorted({w.decode() for w in words_of(t)}))})" for label, t in TEMPLATES)
     places = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: list_slice(w, i + 1, i + {len(p.split())}) = {quoted(p.split())})) AS i, '{label}' AS label FROM w" for p, label in PHRASES.items())
-    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    word, stride = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", stride_of(TEMPLATES)
     return f"""WITH d AS (SELECT doc_id, coalesce({_LOWER.format("text")}, '') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS l FROM d),
-blocks AS (SELECT doc_id, list_slice(l, a + 1, a + {BLOCK}) AS b FROM (SELECT doc_id, l, unnest(range(0, greatest(len(l), 1), {STRIDE})) AS a FROM lines)),
+blocks AS (SELECT doc_id, list_slice(w, a + 1, a + {2 * stride}) AS b FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), {stride})) AS a FROM w)),
 templates(label, words) AS (VALUES {templates}),
 found AS (SELECT doc_id, label, len(list_intersect(words, b))::DOUBLE / len(words) AS c FROM blocks, templates WHERE len(list_intersect(words, b)) >= {threshold} * len(words) - 1e-9),
 best AS (SELECT doc_id, max(c) AS c FROM found GROUP BY doc_id),
