@@ -7,8 +7,8 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quern.llm.licenses import BLOCK, PHRASES, STRIDE, TEMPLATES, Join, scan, words_of
-from quern.llm.substrings import align, chain, pick, remove_passages, repeated_passages
+from quern.llm.licenses import PHRASES, TEMPLATES, Join, scan, stride_of, words_of
+from quern.llm.substrings import align, chain, packed_seeds, remove_passages, repeated_passages
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -21,15 +21,13 @@ def brute_scan(text):
     words = WORD.findall(low(text))
     places = [(i, label) for phrase, label in PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     base = sorted({label for _, label in places})
-    best, own = 0.0, set()
-    for line in low(text).split("\n"):
-        w = WORD.findall(line)
-        for at in range(0, max(len(w), 1), STRIDE):
-            for label, t in TEMPLATES:
-                want = {x.decode() for x in words_of(t)}
-                c = len(want & set(w[at : at + BLOCK])) / len(want)
-                if c >= 0.8 - 1e-12:
-                    best, own = max(best, c), own | {label}
+    best, own, stride = 0.0, set(), stride_of(TEMPLATES)
+    for at in range(0, max(len(words), 1), stride):
+        for label, t in TEMPLATES:
+            want = {x.decode() for x in words_of(t)}
+            c = len(want & set(words[at : at + 2 * stride])) / len(want)
+            if c >= 0.8 - 1e-12:
+                best, own = max(best, c), own | {label}
     starts = [i for i, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted({*base, *own})), 1.0 if base else best
 
@@ -62,6 +60,22 @@ def test_scan_hard_rows(spark, hard_docs, no_docs):
     assert scan(no_docs).count() == 0
 
 
+def test_wrapped_notices(spark):
+    """Every template is found when it is hard-wrapped, or deep in a text, and a long one of one's own has blocks that hold it."""
+    rng = random.Random(8)
+    rows = []
+    for n, (_, t) in enumerate(TEMPLATES):
+        w = t.split()
+        wrapped = "\n".join(" ".join(w[i : i + 5]) for i in range(0, len(w), 5))
+        rows += [(2 * n, wrapped), (2 * n + 1, " ".join(words(rng, 77 + n, "x") + [wrapped] + words(rng, 50, "y")))]
+    got = {r.doc_id: r.labels.split(",") for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(TEMPLATES[i // 2][0] in labels for i, labels in got.items()) and "bsd" in got[2 * 7]
+    long = [("own", " ".join(f"t{i}" for i in range(90)))]
+    rows = [(i, " ".join(words(rng, i, "x") + long[0][1].split())) for i in range(0, 200, 7)]
+    assert all(r.labels == "own" and r.score == 1 for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=long).collect())
+    assert all(r.labels == "" for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=[], phrases={}).collect())
+
+
 def test_prefix_filter_is_exact():
     rng = random.Random(1)
     vocab = [f"t{i}" for i in range(30)]
@@ -149,22 +163,6 @@ def test_passages_of_hard_rows(spark, scratch, hard_docs, no_docs):
         repeated_passages(no_docs, scratch, min_words=10)
 
 
-def test_picked_seeds_cover_windows():
-    rng = np.random.default_rng(0)
-    sizes = [0, 1, 5, 16, 17, 90]
-    h = rng.integers(0, 2**63, sum(sizes)).astype(np.uint64)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    spots = set(pick(h, first, 16).tolist())
-    from quern.llm.textvec import mix
-
-    want = set()
-    for a, b in zip(first, first[1:]):
-        for s in range(a, max(b - 15, a + 1)):
-            if b > a:
-                want.add(s + int(np.argmin(mix(h[s : min(s + 16, b)]))))
-    assert spots == want
-
-
 def test_chain_is_optimal():
     from quern.llm.substrings import GAP_COST, SEED_SCORE
 
