@@ -1,7 +1,7 @@
 """URL verdicts: explicit rules first, else gradient-boosted trees on lexical features.
 
 The trees learn from labelled urls; the query takes those urls that a rule decides. The
-counts behind the suffix features cover all labelled rows, the fit sees at most max_rows of them.
+counts behind the suffix features cover all labelled rows, the fit sees at most max_rows different ones of them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .quality import smallest
+from .scratch import Scratch, map_batches
 
 FEATURES = ["length", "host_length", "labels", "depth", "digit_ratio", "entropy", "parameters", "marks", "host_digits", "last_length", "suffix1", "suffix2"]
 #: Rule to verdict.
@@ -22,9 +23,8 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 
 
 def host_of(url: Column) -> Column:
-    """What stands between the first :// and the next / ? # or the end, A-Z lower-cased; else empty."""
-    rest = F.substring_index(F.regexp_replace(url, r"(?s)^.*?://", "\u0000"), "\u0000", -1)
-    host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
+    """What stands between the first :// and the next / ? # or the end, A-Z lower-cased; else empty. Any other character, NUL and line feeds too, is part of it."""
+    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("")
 
 
@@ -69,18 +69,19 @@ class Trees:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        """y: 0 or 1. Without rows the probability is 1/2 everywhere, with one class it leans to it."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+        """y: 0 or 1, weight: of each row, 1 if not given. Without rows the probability is 1/2 everywhere, with one class it leans to it."""
         if not len(y):
             return self
-        p = (y.sum() + self.smooth) / (len(y) + 2 * self.smooth)
+        weight = np.ones(len(y)) if weight is None else weight / weight.mean()
+        p = ((y * weight).sum() + self.smooth) / (weight.sum() + 2 * self.smooth)
         self.base = float(np.log(p / (1 - p)))
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         coded = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)])
         score = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            grad, hess = y - p, np.maximum(p * (1 - p), 1e-6)
+            grad, hess = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-6)
             nodes = 2 ** (self.depth + 1) - 1
             feature, cut, value = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
             at = np.zeros(len(y), np.int64)
@@ -131,7 +132,7 @@ def _with_lexical(rows: DataFrame) -> DataFrame:
                 x = lexical(get("url"), get("host"), get("path"))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in x.T)], [*part.schema.names, *names])
 
-    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} double" for c in names)]))
+    return map_batches(rows, run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} double" for c in names)]))
 
 
 def judge(pages: DataFrame, scratch: Scratch, *, rules: dict[str, str] = RULES, labelled: DataFrame | None = None, max_rows: int = 20_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -158,15 +159,18 @@ def judge(pages: DataFrame, scratch: Scratch, *, rules: dict[str, str] = RULES,
         rates[c] = scratch.table(known.groupBy(c).agg(F.sum("label").alias(f"{c}_s"), F.count("*").alias(f"{c}_n")), f"rate_{c}")
 
     def rated(df: DataFrame, own: bool) -> DataFrame:
-        for c in ("suffix1", "suffix2"):  # a labelled url doesn't count in its own suffix rate
-            less = F.col("label") if own else F.lit(0)
-            df = df.join(rates[c], c, "left").withColumn(f"{c}_rate", (F.coalesce(F.col(f"{c}_s"), F.lit(0)) - less + 10 * p) / (F.coalesce(F.col(f"{c}_n"), F.lit(0)) - (1 if own else 0) + 10))
+        for c in ("suffix1", "suffix2"):  # a labelled url and its copies don't count in its own suffix rate
+            less = F.col("copies") if own else F.lit(0)
+            good = F.coalesce(F.col(f"{c}_s"), F.lit(0)) - (less * F.col("label") if own else less)
+            df = df.join(rates[c], c, "left").withColumn(f"{c}_rate", (good + 10 * p) / (F.coalesce(F.col(f"{c}_n"), F.lit(0)) - less + 10))
         return df
 
     cols = [*(f"l{j}" for j in range(len(FEATURES) - 2)), "suffix1_rate", "suffix2_rate"]
-    sample = scratch.table(known.orderBy(F.xxhash64("url"), "url").limit(max_rows), "sample")
-    train = rated(_with_lexical(sample), True).orderBy("url", "label").select("label", *cols).toPandas()
-    model = Trees().fit(train[cols].to_numpy(float), train["label"].to_numpy(float))
+    # copies of a url come in once, with their number as weight, so one that is copied much doesn't fill the sample
+    different = scratch.table(known.groupBy("url", "label").agg(*(F.first(c).alias(c) for c in ("host", "path", "suffix1", "suffix2")), F.count("*").alias("copies")), "different")
+    sample = scratch.table(smallest(different, F.xxhash64("url"), max_rows, ["url", "label"]), "sample")
+    train = rated(_with_lexical(sample), True).orderBy("url", "label").select("label", "copies", *cols).toPandas()
+    model = Trees().fit(train[cols].to_numpy(float), train["label"].to_numpy(float), np.log1p(train["copies"].to_numpy(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +179,7 @@ def judge(pages: DataFrame, scratch: Scratch, *, rules: dict[str, str] = RULES,
 
     kept = ["key", "host", "path", "rule"]
     kind = rows.schema["key"].dataType.simpleString()
-    full = rated(_with_lexical(rows), False).mapInArrow(run, f"key {kind}, host string, path string, rule string, block_probability double")
+    full = map_batches(rated(_with_lexical(rows), False), run, f"key {kind}, host string, path string, rule string, block_probability double")
     return full.select(F.col("key").alias(id_col), "host", "path", "rule", F.coalesce(verdict, F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")).alias("verdict"), "block_probability")
 
 

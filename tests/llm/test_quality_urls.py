@@ -1,10 +1,15 @@
 """Quality scores on held-out rows, url rules and trees."""
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
-from quern.llm.quality import FEATURES, features, fit, score_documents
-from quern.llm.urls import Trees, judge
+from pyspark.sql import functions as F
+from quern.llm.quality import FEATURES, WINDOW, features, fit, score_documents, smallest
+from quern.llm.urls import Trees, judge, lexical
 
 
 def corpus(spark, n=300, seed=4):
@@ -49,6 +54,96 @@ def test_features_are_per_document():
         assert np.allclose(features([t])[0], together[i])
 
 
+SYMBOL = b"!\"#$%&*+/<=>?@[\\]^_`{|}~"
+
+
+def plain_features(text):
+    """The features of one text, word by word."""
+    low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), text)
+    words, lows = re.findall(rb"[^ \t\n\v\f\r]+", text), re.findall(rb"[^ \t\n\v\f\r]+", low)
+    n = len(words)
+    if not n:
+        return [0.0] * len(FEATURES)
+    size = sum(map(len, words))
+    upper, letters = sum(c in range(0x41, 0x5B) for w in words for c in w), sum(c in range(0x41, 0x5B) or c in range(0x61, 0x7B) for w in words for c in w)
+    shouted = [sum(c in range(0x41, 0x5B) for c in w) >= 2 and not any(c in range(0x61, 0x7B) for c in w) for w in words]
+    pipe = [w == b"|" for w in words]
+    marked = [w[-1] in SYMBOL and w != b"|" for w in words]
+    again = [i >= 1 and lows[i] == lows[i - 1] or i >= 2 and lows[i] == lows[i - 2] for i in range(n)]
+    lines = [x for x in (tuple(re.findall(rb"[^ \t\n\v\f\r]+", line)) for line in low.split(b"\n")) if x]
+    worst = lambda x: max(sum(x[i : i + WINDOW]) for i in range(n)) / WINDOW
+    pairs = len(set(zip(lows[1:], lows))) + 1  # the first word has none before it in its text
+    return [
+        math.log1p(n) / 10, min(size / n / 20, 2), sum(len(w) > 25 for w in words) / n, upper / max(letters, 1), sum(shouted) / n, sum(c in range(0x30, 0x3A) for w in words for c in w) / size,
+        sum(c in SYMBOL for w in words for c in w) / size, sum(marked) / n, sum(c >= 0x80 for w in words for c in w) / size, sum(again) / n, math.log1p(len(set(lows))) / math.log1p(n),
+        math.log1p(pairs) / math.log1p(n), 1 - len(set(lines)) / len(lines), math.log1p(n / len(lines)) / 8, sum(pipe) / n, worst(shouted), worst(marked), worst(again), worst(pipe),
+    ]
+
+
+def some_texts(n=60, seed=7):
+    rng = random.Random(seed)
+    vocab = ["one", "Two", "THREE", "f0ur", "|", "five!!", "#", "é" * 9, "the", "the", "x" * 30, "A", "OK?", "__"]
+    return ["".join(w for _ in range(rng.choice([0, 1, 3, 40, 200])) for w in (rng.choice(vocab), rng.choice([" ", " ", "\n", "\t ", "\r\n", "\n\n"]))) for _ in range(n)]
+
+
+def test_features_against_plain_python():
+    texts = [t.encode() for t in some_texts()]
+    for t, x in zip(texts, features(texts)):
+        want = plain_features(t)
+        for name, a, b in zip(FEATURES, x, want):
+            assert math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9), (t, name, a, b)
+
+
+def test_scores_against_plain_python(spark, scratch):
+    """Features, choice of rows, fit, cut and score, all by hand."""
+    docs, labels = corpus(spark, 200)
+    texts, y = {r.doc_id: r.text.encode() for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    x = {i: np.array(plain_features(t), np.float32).astype(float) for i, t in texts.items()}
+    learn = [r.doc_id for r in docs.filter("crc32(cast(doc_id as string)) % 5 <> 0").orderBy(F.xxhash64("doc_id")).limit(90).collect()]
+    mean, scale, w, cut = fit(np.array([x[i] for i in learn]), np.array([y[i] for i in learn]))
+    out = {r.doc_id: r for r in score_documents(docs, labels, scratch, max_rows=90).collect()}
+    for i in texts:
+        score = 1 / (1 + math.exp(-(((x[i] - mean) / scale) @ w - cut) + math.log(0.7 / 0.3)))
+        assert math.isclose(out[i].score, score, abs_tol=1e-4) and out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_smallest(spark):
+    rows = spark.range(3000).repartition(7)
+    for most in (10, 500, 2990, 5000):
+        got = [r.id for r in smallest(rows, F.xxhash64("id"), most, ["id"]).collect()]
+        assert got == [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(most).collect()]
+    copies = spark.range(3000).select(F.lit(1).alias("id"))  # one key for all: nothing is below the threshold, or all is
+    assert smallest(copies, F.xxhash64("id"), 10, ["id"]).count() == 10
+    assert smallest(rows.limit(0), F.xxhash64("id"), 10, ["id"]).count() == 0
+
+
+def test_lexical_against_plain_python():
+    urls = ["http://a.b-c.example.com/x/1//y_2?p=1&q=&&r#f?z", "", "x", "http://h?a=1#b", "ftp://1.2.3.4", "://", "http://a\x00b.com/%20~é@+", "http://a/b/"]
+    hosts = [re.match(r"(?s)^.*?://([^/?#]*)", u)[1] if "://" in u else "" for u in urls]
+    paths = [re.match(r"(?s)^.*?://[^/?#]*([^?#]*)", u)[1] if "://" in u else "" for u in urls]
+    got = lexical(*([s.encode() for s in x] for x in (urls, hosts, paths)))
+    for u, h, p, x in zip(urls, hosts, paths, got):
+        raw = u.encode()
+        share = [c / len(raw) for c in Counter(raw).values()]
+        query = u.partition("?")[2].partition("#")[0]
+        want = [
+            len(raw), len(h.encode()), h.count(".") + 1 if h else 0, len([s for s in p.split("/") if s]), sum(48 <= c <= 57 for c in raw) / max(len(raw), 1), -sum(s * math.log2(s) for s in share),
+            len([s for s in query.split("&") if s]), sum(c in b"-_%~.@+" for c in raw), sum(c.isdigit() for c in h), len(p.rpartition("/")[2].encode()),
+        ]
+        assert np.allclose(x, want), u
+
+
+def test_verdicts_of_copies(spark, scratch):
+    """A url that is copied much doesn't keep others out of the sample, and trees learn what labelled hosts have in common."""
+    rng = random.Random(4)
+    rows = [("http://copied.net/", "block")] * 500 + [(f"http://{'spam' if bad else 'site'}{i}.{'biz' if bad else 'edu'}/p", "block" if bad else "allow") for i, bad in enumerate(rng.random() < 0.5 for _ in range(120))]
+    known = spark.createDataFrame(rows, "url string, verdict string")
+    asked = spark.createDataFrame([(1, "http://spam900.biz/p"), (2, "http://site901.edu/p")], "page_id long, url string")
+    for most in (20_000, 60):
+        got = {r.page_id: r.verdict for r in judge(asked, scratch, rules={}, labelled=known, max_rows=most).collect()}
+        assert got == {1: "block", 2: "allow"}
+
+
 def test_fit_prefers():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
@@ -78,6 +173,9 @@ URLS = {
     "x://net/": ("net", "/", "net/", "block"),
     "http://a#b/c": ("a", "", None, None),
     "http://a?u=http://b.net/": ("a", "", None, None),
+    "http://a\x00b.com/x": ("a\x00b.com", "/x", None, None),
+    "http://x\x00.NET/\x00": ("x\x00.net", "/\x00", "net/", "block"),
+    "http://a\nb.net/": ("a\nb.net", "/", "net/", "block"),
     "no scheme": ("", "", None, None),
     "://": ("", "", None, None),
     "": ("", "", None, None),
