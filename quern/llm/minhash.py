@@ -10,7 +10,7 @@ Copies of one set are folded first. Half keys that occur once in the corpus can'
 go before the pairs of half keys are formed; tables' buckets with the same members count once.
 Buckets that share documents make a cluster, and all links within a cluster are confirmed on full
 sets. A large cluster is first thinned out: each bucket's members are held against its smallest
-member. Where that leaves it in several components, its documents are dealt into blocks of bounded size and
+member. Where that leaves it in several components, its documents are dealt into blocks, bounded in documents and in bytes of their sets, and
 all pairs of blocks are compared, but not those within its largest component.
 """
 
@@ -29,7 +29,8 @@ from .components import components
 from .scratch import Scratch, few, map_batches, map_groups, spread
 from .textvec import Words, mix, pieces_of, release
 
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+STAR = 256
 SLAB = 4096
 _MUL = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -86,8 +87,8 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (n - inter)
 
 
-def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; a b with more than STAR pairs is dealt out over several tasks."""
     sa, sb = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,11 @@ def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             ok = [_similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_batches(pairs.join(sb, "b").join(sa, "a").select("a", "b", "set_a", "set_b"), run, "a long, b long")
+    many = few(scratch.table(pairs.groupBy("b").count().filter(F.col("count") > STAR).select("b", F.ceil(F.col("count") / STAR).cast("int").alias("parts")), "many"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("salt"))
+    right = sb.join(many, "b", "left").select("b", "set_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    return map_batches(left.join(right, ["b", "salt"]).join(sa, "a").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -198,18 +203,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, percent: int = 80, shi
     sets = scratch.table(map_batches(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]), as_sets, "doc_id long, set binary"), "sets")
 
     in_large = clusters.join(large, "cluster", "left_semi").select(F.col("doc").alias("a"))
-    stars = scratch.table(_confirm_pairs(pairs.join(in_large, "a", "left_semi"), sets, percent), "stars")
+    stars = scratch.table(_confirm_pairs(pairs.join(in_large, "a", "left_semi"), sets, percent, scratch), "stars")
     thinned = components(stars, scratch, "thinned").withColumnRenamed("node", "doc")
 
     # what of a cluster is not yet one component; block numbers below `small` hold all but its largest component
-    placed = scratch.table(clusters.join(thinned, "doc", "left").select("cluster", "doc", F.coalesce("component", "doc").alias("comp")), "placed")
-    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", "n").alias("giant")).filter("comps > 1")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    alone = F.col("n") <= BLOCK
-    sizes = sizes.select("cluster", "giant", alone.alias("alone"), F.when(alone, 1).otherwise(blocks(F.col("n") - F.col("top"))).alias("small"), F.when(alone, 0).otherwise(blocks(F.col("top"))).alias("rest"))
+    weight = reps.select("doc", (F.col("n_shingles") * 8).alias("bytes"))
+    placed = scratch.table(clusters.join(thinned, "doc", "left").join(weight, "doc").select("cluster", "doc", "bytes", F.coalesce("component", "doc").alias("comp")), "placed")
+    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    top = lambda c: F.max_by(c, F.struct("n", "comp"))
+    sizes = sizes.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), top("n").alias("top"), top("bytes").alias("top_bytes"), top("comp").alias("giant")).filter("comps > 1")
+    blocks = lambda n, b: F.ceil(F.greatest(n / BLOCK, b / BLOCK_BYTES)).cast("int")
+    alone = (F.col("n") <= BLOCK) & (F.col("bytes") <= BLOCK_BYTES)
+    small, rest = blocks(F.col("n") - F.col("top"), F.col("bytes") - F.col("top_bytes")), blocks(F.col("top"), F.col("top_bytes"))
+    sizes = sizes.select("cluster", "giant", alone.alias("alone"), F.when(alone, 1).otherwise(small).alias("small"), F.when(alone, 0).otherwise(rest).alias("rest"))
     rows = placed.join(scratch.table(sizes, "sizes"), "cluster")
-    bins = max(1, placed.count() // BLOCK)
+    total = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    bins = max(1, total.n // BLOCK, total.bytes // BLOCK_BYTES)
     rows = rows.withColumn("grp", F.when(F.col("alone"), -1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")))
     rows = rows.withColumn("at", F.when((F.col("comp") == F.col("giant")) & (F.col("rest") > 0), F.col("small") + F.pmod(F.xxhash64("doc"), F.greatest("rest", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc"), F.col("small"))).cast("int"))
     meets = F.sequence(F.lit(0), F.when(F.col("at") < F.col("small"), F.col("small") + F.col("rest")).otherwise(F.col("small")).cast("int") - 1)

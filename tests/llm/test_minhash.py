@@ -57,6 +57,38 @@ def test_large_cluster_in_several_components(spark, scratch, monkeypatch):
     check(spark, scratch, varied(2, n=90), 80)
 
 
+def test_few_very_long_texts(spark, scratch, monkeypatch):
+    """Blocks are bounded in bytes: long texts that are all alike still link, a pair at a time."""
+    monkeypatch.setattr("quern.llm.minhash.BLOCK_BYTES", 40_000)
+    check(spark, scratch, varied(4, n=16, words=9000, changes=400), 85)
+
+
+def test_a_cluster_of_thousands(spark, scratch):
+    """One document with thousands of near copies, each of its own."""
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(200)]
+    rows = [(3, " ".join(base))]
+    for i in range(4, 2504):
+        w = list(base)
+        w[rng.randrange(200)] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(9000 + i, " ".join(f"q{i}_{j}" for j in range(50))) for i in range(50)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch, percent=85).collect()
+    assert all(r.component_id == (3 if r.doc_id < 9000 else r.doc_id) for r in got) and len(got) == len(rows)
+
+
+def test_recall_at_the_threshold(spark, scratch):
+    """Pairs that share 170 of 200 shingles, and pairs that share one less."""
+    rows = []
+    for i in range(400):
+        n = 174 - i % 2
+        w = [f"w{i}_{j}" for j in range(189)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:n] + [f"x{i}_{j}" for j in range(189 - n)]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch, percent=85).collect()}
+    linked = [got[2 * i + 1] == 2 * i for i in range(400)]
+    assert sum(linked[::2]) >= 199 and not any(linked[1::2])
+
+
 def test_hard_rows(spark, scratch, hard_docs):
     rows = near_duplicates(hard_docs, scratch, percent=85).collect()
     assert len(rows) == hard_docs.count()
