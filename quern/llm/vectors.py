@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, map_batches, map_groups
 
 WIDTH = 2.0
 PROJECTIONS = 16
 BLOCK = 2048
 TARGET = 1024
+SLAB = 1 << 19
 
 
 def _phi(x: float) -> float:
@@ -66,25 +67,32 @@ def plan(rows: int, threshold: float, miss: float) -> tuple[int, int, float, int
 
 
 def _candidates(p: np.ndarray, window: float, least: int, split: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j that collide in at least `least` windows; with split > 0 only pairs across that row."""
+    """Pairs i < j that collide in at least `least` windows; with split > 0 only pairs across that row.
+
+    A pair collides once per projection at most, so counts are bytes, added up projection by projection and SLAB collisions at a time.
+    """
     n = len(p)
-    keys = []
+    counts = np.zeros((split, n - split) if split else (n, n), np.uint8)
     for c in p.T:
         order = np.argsort(c)
         s = c[order]
-        hi = np.searchsorted(s, s + window, side="right")
-        many = hi - np.arange(n) - 1
-        left = np.repeat(np.arange(n), many)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + left + 1
-        i, j = order[left], order[right]
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        if split:
-            keep = (i < split) & (j >= split)
-            i, j = i[keep], j[keep]
-        keys.append(i * n + j)
-    counts = np.bincount(np.concatenate(keys), minlength=0)
-    hit = np.flatnonzero(counts >= least)
-    return hit // n, hit % n
+        many = np.searchsorted(s, s + window, side="right") - np.arange(n) - 1
+        ends = np.cumsum(many)
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, side="right")))
+            some = many[at:to]
+            left = np.repeat(np.arange(at, to), some)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some) + left + 1
+            i, j = order[left], order[right]
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            if split:
+                keep = (i < split) & (j >= split)
+                i, j = i[keep], j[keep] - split
+            counts[i, j] += 1
+            at = to
+    i, j = np.nonzero(counts >= max(least, 1))
+    return i, j + split
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, *, threshold: float = 0.95, miss: float = 1e-4, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -147,7 +155,7 @@ def _width_links(reps: DataFrame, n: int, d: int, scratch: Scratch, threshold: f
                 ends = pa.array(np.arange(len(u) + 1, dtype=np.int32) * tables)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(ends, pa.array(code.ravel()))], ["rep", "v", "copies", "cells"])
 
-    dealt = scratch.table(reps.select("rep", "v", "copies").mapInArrow(deal, "rep long, v array<double>, copies long, cells array<long>"), f"dealt{d}")
+    dealt = scratch.table(map_batches(reps.select("rep", "v", "copies"), deal, "rep long, v array<double>, copies long, cells array<long>"), f"dealt{d}")
     at = dealt.select("rep", F.posexplode("cells").alias("t", "cell"))
     sizes = at.groupBy("t", "cell").count().filter("count > 1").select("t", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
     placed = dealt.select("*", F.posexplode("cells").alias("t", "cell")).join(sizes, ["t", "cell"])
@@ -187,7 +195,8 @@ def _width_links(reps: DataFrame, n: int, d: int, scratch: Scratch, threshold: f
             "n": np.concatenate([n[own], np.zeros(len(tied))]).astype(np.int64),
         })
 
-    return scratch.table(placed.select("t", "cell", "i", "j", "side", "rep", "v", "copies", "cells").groupBy("t", "cell", "i", "j").applyInPandas(run, "a long, b long, n long"), f"links{d}")
+    grouped = placed.select("t", "cell", "i", "j", "side", "rep", "v", "copies", "cells").groupBy("t", "cell", "i", "j")
+    return scratch.table(map_groups(scratch.spark, grouped, run, "a long, b long, n long"), f"links{d}")
 
 
 def op7_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

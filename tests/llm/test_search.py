@@ -80,6 +80,40 @@ def test_near_vectors_hard_rows(spark, scratch):
     assert near_vectors(df.limit(0), scratch).count() == 0
 
 
+def test_candidates(monkeypatch):
+    """Counts of window collisions, whole and across a split, whatever the slab; a block of near-identical vectors stays small."""
+    import tracemalloc
+
+    from quern.llm.vectors import _candidates
+
+    rng = np.random.default_rng(4)
+    p = rng.normal(size=(60, 6))
+    near = (np.abs(p[:, None] - p[None, :]) <= 0.5).sum(2)
+    for slab in (7, 1 << 19):
+        monkeypatch.setattr("quern.llm.vectors.SLAB", slab)
+        for split in (0, 25):
+            want = {(i, j) for i in range(60) for j in range(i + 1, 60) if near[i, j] >= 3 and (not split or i < split <= j)}
+            assert set(zip(*(x.tolist() for x in _candidates(p, 0.5, 3, split)))) == want
+    tracemalloc.start()
+    i, _ = _candidates(rng.normal(size=(1, 16)) + 1e-3 * rng.normal(size=(2048, 16)), 0.47, 9, 0)
+    assert len(i) == 2048 * 2047 // 2 and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_near_vectors_through_cells(spark, scratch):
+    """Some thousand rows: several cells and tables with the production plan."""
+    assert plan(4000, 0.95, 1e-4)[0] >= 1
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 24))
+    rows = [(i, (base[i % 1500] + rng.normal(size=24) * rng.choice([0.05, 0.2, 0.4])).astype(np.float32).tolist()) for i in range(4000)]
+    x = np.array([r[1] for r in rows])
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in near_vectors(vectors(spark, rows), scratch).collect()}
+    assert sum(got[i] for i in range(4000)) >= 0.999 * near.sum() and all(got[i] <= near[i].sum() for i in range(4000))
+
+
 def test_plan():
     assert plan(100, 0.95, 1e-4)[:2] == (0, 1)
     k, tables, window, least = plan(10**6, 0.95, 1e-4)
