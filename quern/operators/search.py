@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from enum import Enum
+from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,48 +74,40 @@ def by_bound(terms: DataFrame, scorer: Scorer = Scorer.BM25) -> DataFrame:
 
 
 def _scored(index: Index, terms: DataFrame, scorer: Scorer) -> DataFrame:
-    """(qid, term, term_pos, doc_id, part) per posting of a query's terms."""
-    rows = index.postings.join(terms.select("qid", "term", "term_pos", "idf"), "term").crossJoin(F.broadcast(index.stats))
+    """(qid, term, doc_id, part, and what else terms has) per posting of a query's terms."""
+    rows = index.postings.join(terms, "term").crossJoin(F.broadcast(index.stats))
     part = scoring.SCORERS[scorer.value]({c: F.col(c) for c in ("tf", "doc_len", "idf", "n_docs", "total_len")})
-    return rows.select("qid", "term", "term_pos", "doc_id", part.alias("part"))
+    return rows.select("doc_id", part.alias("part"), *terms.columns)
 
 
 def _essential(index: Index, terms: DataFrame, options: SearchOptions) -> DataFrame:
-    """Documents that can reach a query's top k: those with an essential term.
+    """(qid, term, essential): can documents that have none of a query's essential terms reach its top k? They can't.
 
     The k-th largest score that documents get from the query's term of the largest bound alone is no more than
     the k-th largest full score. Terms whose bounds together stay below it can't lift a document into
-    the top k by themselves; ties within the rounding stay in.
+    the top k by themselves; ties within the rounding stay in. Only that one list is read twice.
     """
     bounded = by_bound(terms, options.scorer)
     top = bounded.withColumn("last", F.max("bound_order").over(W.partitionBy("qid"))).filter("bound_order = last")
     partial = _scored(index, top, options.scorer).withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("part"))))
     floor = partial.filter(F.col("r") <= options.k).groupBy("qid").agg(F.count("*").alias("n"), F.min("part").alias("floor")).filter(F.col("n") >= options.k).select("qid", "floor")
-    essential = bounded.join(floor, "qid", "left").filter(F.col("floor").isNull() | (F.col("bound_sum") >= F.col("floor") - MARGIN))
-    return index.postings.join(essential.select("qid", "term"), "term").select("qid", "doc_id").distinct()
+    return bounded.join(floor, "qid", "left").select("qid", "term", (F.col("floor").isNull() | (F.col("bound_sum") >= F.col("floor") - MARGIN)).alias("essential"))
 
 
 def _heap_order(scored: DataFrame, k: int) -> DataFrame:
-    """The top k that a heap of size k keeps when documents arrive in id order and one that ties with the head is turned away."""
+    """The top k that a heap of size k keeps when documents arrive in id order and one that ties with the head is turned away.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        heap: list[tuple[float, int]] = []
-        for d, s in zip(*(pdf.sort_values("doc_id")[c].tolist() for c in ("doc_id", "score"))):
-            if len(heap) < k:
-                heapq.heappush(heap, (s, d))
-            elif heap[0][0] < s:
-                heapq.heapreplace(heap, (s, d))
-        best = sorted(heap, key=lambda x: (-x[0], x[1]))
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]] * len(best), "doc_id": [d for _, d in best], "score": [s for s, _ in best], "rank": range(1, len(best) + 1)})
-
-    # only documents from the k-th score up can matter, and of those above it there are fewer than k; ties are what can be many
+    All above the k-th score stay. Of the documents that reach it the first k in id order fill the heap for good, so
+    later ties are turned away, and every later document above it throws the tie of the smallest id out.
+    """
     place = scored.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"))))
     low = place.filter(F.col("r") == k).select("qid", F.col("score").alias("low"))
-    kept = scored.join(low, "qid", "left").filter(F.col("low").isNull() | (F.col("score") >= F.col("low"))).drop("low")
-    kinds = {f.name: f.dataType.simpleString() for f in scored.schema}
-    return kept.select("qid", "doc_id", "score").groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double, rank int")
+    reach = scored.join(low, "qid", "left").filter(F.col("low").isNull() | (F.col("score") >= F.col("low")))
+    above = F.coalesce(F.col("score") > F.col("low"), F.lit(True))
+    seen = reach.withColumns({"above": above, "arrival": F.row_number().over(W.partitionBy("qid").orderBy("doc_id"))}).filter(F.col("above") | (F.col("arrival") <= k))
+    left = seen.withColumns({"n_above": F.sum(F.col("above").cast("int")).over(W.partitionBy("qid")), "from_last": F.row_number().over(W.partitionBy("qid", "above").orderBy(F.desc("doc_id")))})
+    kept = left.filter(F.col("above") | (F.col("from_last") <= k - F.col("n_above")))
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).select("qid", "doc_id", "score", "rank")
 
 
 def search_batch(index: Index, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -125,10 +117,10 @@ def search_batch(index: Index, queries: DataFrame, options: SearchOptions = Sear
     ones. A query without tokens or known terms has no rows.
     """
     terms = query_terms(index, queries)
-    parts = _scored(index, terms, options.scorer)
-    if options.mode is Mode.OR and options.strategy is Strategy.MAXSCORE:
-        parts = parts.join(_essential(index, terms, options), ["qid", "doc_id"], "left_semi")
-    scored = parts.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), scoring.PLACES).alias("score"), F.count("*").alias("matched"))
+    pruned = options.mode is Mode.OR and options.strategy is Strategy.MAXSCORE
+    asked = terms.join(_essential(index, terms, options), ["qid", "term"]) if pruned else terms.withColumn("essential", F.lit(True))
+    parts = _scored(index, asked, options.scorer)
+    scored = parts.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), scoring.PLACES).alias("score"), F.count("*").alias("matched"), F.max("essential").alias("essential")).filter("essential")
     if options.mode is Mode.AND:
         wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
         scored = scored.join(wanted, "qid").filter("matched = wanted")
@@ -149,16 +141,29 @@ def search(index: Index, query: str, options: SearchOptions = SearchOptions()) -
         raise ValueError("the query is empty")
     spark = index.postings.sparkSession
     asked = spark.createDataFrame([("q", query)], "qid string, query string")
-    if options.tie_compat or options.strategy is Strategy.MAXSCORE and options.mode is Mode.OR:
+    if options.tie_compat:
         return search_batch(index, asked, options).drop("qid")
-    known = query_terms(index, asked).select("term", "term_pos", "idf").collect()  # a row per known query term
+    bound = f"max_{options.scorer.value}"
+    known = query_terms(index, asked).select("term", "term_pos", "idf", F.col(bound).alias("bound")).collect()  # a row per known query term
     schema = "rank int, doc_id long, docno string, score double"
     if not known:
         return spark.createDataFrame([], schema)
     idf = F.element_at(F.create_map(*(F.lit(x) for r in known for x in (r.term, r.idf))), F.col("term"))
-    rows = index.postings.filter(F.col("term").isin(*(r.term for r in known))).withColumn("idf", idf).crossJoin(F.broadcast(index.stats))
     part = scoring.SCORERS[options.scorer.value]({c: F.col(c) for c in ("tf", "doc_len", "idf", "n_docs", "total_len")})
-    scored = rows.groupBy("doc_id").agg(F.round(F.sum(part), scoring.PLACES).alias("score"), F.count("*").alias("matched"))
+
+    def lists(terms: list[str]) -> DataFrame:
+        return index.postings.filter(F.col("term").isin(*terms)).withColumn("idf", idf).crossJoin(F.broadcast(index.stats)).select("term", "doc_id", part.alias("part"))
+
+    essential = [r.term for r in known]
+    if options.mode is Mode.OR and options.strategy is Strategy.MAXSCORE and len(known) > 1:  # one list can't be pruned
+        rising = sorted(known, key=lambda r: (r.bound, r.term_pos))
+        floor = lists([rising[-1].term]).orderBy(F.desc("part")).limit(options.k).collect()
+        if len(floor) == options.k:
+            sums = list(accumulate(r.bound for r in rising))
+            essential = [r.term for r, s in zip(rising, sums) if s >= floor[-1].part - MARGIN]
+    scored = lists([r.term for r in known]).groupBy("doc_id").agg(F.round(F.sum("part"), scoring.PLACES).alias("score"), F.count("*").alias("matched"), F.max(F.col("term").isin(*essential)).alias("essential"))
+    if len(essential) < len(known):
+        scored = scored.filter("essential")
     if options.mode is Mode.AND:
         scored = scored.filter(F.col("matched") == len(known))
     best = scored.orderBy(F.desc("score"), "doc_id").limit(options.k)

@@ -10,15 +10,20 @@ from pyspark.sql import SparkSession
 
 from ..operators.index import Index, IndexConfig, build_index, load, save
 
+_local: dict[str, str] = {}
 _made: dict[tuple, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir as the cluster names it. Where it is unset, a local session gets a folder of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _local:
+            _local[key] = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
+        found = _local[key]
     return found.rstrip("/")
 
 
