@@ -91,12 +91,19 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--report")
         if name == "run":
             sub.add_argument("--out", required=True)
+            sub.add_argument("--one-file", action="store_true", help="write the run as a single file under --out")
+    for sub in todo.choices.values():
+        sub.add_argument("--log", help="append the log to this file")
+        sub.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
     return top
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
+    log.setLevel(args.log_level)
+    handler = logging.FileHandler(args.log) if args.log else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.handlers = [handler]
     spark = spark or SparkSession.builder.appName("quern").getOrCreate()
     if args.command == "build":
         words = {"stopwords": sources.read_words(spark, args.stopwords)} if args.stopwords else {}
@@ -115,5 +122,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             with open(args.report, "a") as f:
                 f.write(text)
     else:
-        evaluate.write_trec(evaluate.trec_rows(index, sources.read_queries(spark, args.queries), opts), args.out)
+        evaluate.write_trec(evaluate.trec_rows(index, sources.read_queries(spark, args.queries), opts), args.out, one_file=args.one_file)
     return 0

@@ -19,10 +19,11 @@ def trec_rows(index: Index, queries: DataFrame, options: SearchOptions = SearchO
     return found.select("qid", F.lit("Q0").alias("q0"), "docno", "rank", "score", F.lit(run_id).alias("runid"))
 
 
-def write_trec(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Tab-separated lines in query and rank order, as text files under path."""
+def write_trec(rows: DataFrame, path: str, mode: str = "append", one_file: bool = False) -> None:
+    """Tab-separated lines in query and rank order, as text files under path; one_file: as a single one, which a run's rows (queries x k) fill in one task."""
     line = F.concat_ws("\t", "qid", "q0", "docno", F.col("rank").cast("string"), F.col("score").cast("string"), "runid")
-    rows.repartitionByRange("qid").sortWithinPartitions("qid", "rank").select(line.alias("value")).write.mode(mode).text(path)
+    dealt = rows.repartition(1) if one_file else rows.repartitionByRange("qid")
+    dealt.sortWithinPartitions("qid", "rank").select(line.alias("value")).write.mode(mode).text(path)
 
 
 def shown(results: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, scoring
 from ..functions.analysis import STOPWORDS, tokens_of, truncated
+from ..functions.names import fresh
 from ..functions.stemmer import vocabulary
 from .spread import spread
 
@@ -46,6 +47,7 @@ class Index:
     stats: DataFrame
     skip_blocks: DataFrame
     compressed: DataFrame | None = field(default=None)
+    analysed: DataFrame | None = field(default=None)
 
 
 def analyzed(docs: DataFrame, config: IndexConfig = IndexConfig(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,31 +58,43 @@ def analyzed(docs: DataFrame, config: IndexConfig = IndexConfig(), *, id_col: st
     return one.withColumn("doc_len", F.size("tokens").cast("long")).filter("doc_id is not null and doc_len > 0")
 
 
-CHUNK_IDS = 1 << 16
+CHUNK_BITS = 10
 
 
 def in_order(rows: DataFrame, keys: list[str], id_col: str, out: str) -> DataFrame:
     """Adds the 0-based place of each row in id order within its keys, without gathering a key in one task.
 
-    Rows are numbered within chunks of 65,536 consecutive ids, and every chunk's rows start after
-    those of the chunks before it; what a key gathers is a count per chunk.
+    Ids are cut into 2^CHUNK_BITS ranges of about as many rows each, at approximate quantiles of the ids there are, dense or
+    sparse. Rows are numbered within their range, and a range's rows start after those of the ranges before it; what a key gathers is a
+    count per range. The order of equal ids is open; rows without an id are left out; all other columns stay; an empty table gives an empty result.
     """
-    cut = rows.withColumn("_chunk", F.floor(F.col(id_col) / CHUNK_IDS))
-    before = W.partitionBy(*keys).orderBy("_chunk") if keys else W.orderBy("_chunk")
-    sizes = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    starts = sizes.select(*keys, "_chunk", (F.sum("_n").over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
-    placed = cut.withColumn("_place", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(id_col)) - 1)
-    return placed.join(starts, [*keys, "_chunk"]).withColumn(out, F.col("_start") + F.col("_place")).drop("_chunk", "_place", "_start")
+    chunk, place, start, n, cuts = (fresh(c, rows.columns) for c in ("chunk", "place", "start", "n", "cuts"))
+    rows = rows.filter(F.col(id_col).isNotNull())
+    shares = F.array(*(F.lit(i / (1 << CHUNK_BITS)) for i in range(1, 1 << CHUNK_BITS)))
+    bounds = rows.agg(F.percentile_approx(id_col, shares, 16 << CHUNK_BITS).alias(cuts))
+    at = F.lit(0)  # how many cuts are no more than the id, found by halving
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(CHUNK_BITS))))
+    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(F.col(cuts), low + step - 1) <= F.col(id_col), low + step).otherwise(low))
+    cut = rows.crossJoin(F.broadcast(bounds)).withColumn(chunk, at).drop(cuts)
+    before = W.partitionBy(*keys).orderBy(chunk) if keys else W.orderBy(chunk)
+    sizes = cut.groupBy(*keys, chunk).agg(F.count("*").alias(n))
+    starts = sizes.select(*keys, chunk, (F.sum(n).over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col(n)).alias(start))
+    placed = cut.withColumn(place, F.row_number().over(W.partitionBy(*keys, chunk).orderBy(id_col)) - 1)
+    return placed.join(starts, [*keys, chunk]).withColumn(out, F.col(start) + F.col(place)).select(*rows.columns, out)
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds the dense 1-based number of each document in id order."""
-    return in_order(docs, [], id_col, "_at").withColumn("number", F.col("_at") + 1).drop("_at")
+    return in_order(docs, [], id_col, "number").withColumn("number", F.col("number") + 1)
 
 
 def postings_of(docs: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
-    """(term, doc_id, tf, doc_len) from analyzed documents; the count is partial before it is shuffled."""
-    raw = docs.select("doc_id", "doc_len", F.explode("tokens").alias("token"))  # of all words only "s" has an empty stem
+    """(term, doc_id, tf, doc_len) from analyzed documents; the count is partial before it is shuffled.
+
+    With stemming the token "s", the only one whose stem is empty, is no term; it counts in doc_len, as every token does.
+    Rows that repeat an id are one document to the postings, of the sum of their counts and the length of one of them.
+    """
+    raw = docs.select("doc_id", "doc_len", F.explode("tokens").alias("token"))
     if not config.stopwords_and_stemming:
         return raw.groupBy(truncated(F.col("token")).alias("term"), "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     counted = raw.filter("token <> 's'").groupBy("token", "doc_id").agg(F.count("*").alias("n"), F.first("doc_len").alias("doc_len"))
@@ -146,20 +160,27 @@ def build_index(docs: DataFrame, config: IndexConfig = IndexConfig(), *, id_col:
     dictionary = dictionary_of(postings, stats)
     blocks = skip_blocks_of(postings, dictionary, config.skip_threshold)
     compressed = compressed_of(postings, dictionary, config.skip_threshold) if config.compression else None
-    return Index(config, postings, dictionary, one.select("doc_id", "docno", "doc_len"), stats, blocks, compressed)
+    return Index(config, postings, dictionary, one.select("doc_id", "docno", "doc_len"), stats, blocks, compressed, one)
 
 
 def save(index: Index, path: str) -> Index:
     """Write the index (overwriting) and return it as read back.
 
-    Postings go out by ranges of terms and sorted, so a search for a few terms reads few row groups; the tables
-    that follow from the postings are made from what was written.
+    Texts are analysed once: their tokens are written, and everything else is made from what was written. Postings
+    go out by ranges of terms and sorted, so a search for a few terms reads few row groups.
     """
     spark = index.postings.sparkSession
     spark.createDataFrame([(json.dumps(asdict(index.config)),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
-    index.doc_table.write.mode("overwrite").parquet(f"{path}/doc_table")
+    all_postings, table = index.postings, index.doc_table
+    if index.analysed is not None:
+        index.analysed.write.mode("overwrite").parquet(f"{path}/analysed")
+        tokens = spark.read.parquet(f"{path}/analysed")
+        all_postings, table = postings_of(tokens, index.config), tokens.select("doc_id", "docno", "doc_len")
+    table.write.mode("overwrite").parquet(f"{path}/doc_table")
     stats_of(spark.read.parquet(f"{path}/doc_table")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    all_postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    if index.analysed is not None:
+        _remove(spark, f"{path}/analysed")
     postings, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
     dictionary_of(postings, stats).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
     dictionary = spark.read.parquet(f"{path}/dictionary")
@@ -169,11 +190,19 @@ def save(index: Index, path: str) -> Index:
     return load(spark, path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Are all tables of an index there?"""
+    """Are all tables of an index there, with that of the compressed lists if its configuration asks for it?"""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return all(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{t}/_SUCCESS")) for t in ("config", "doc_table", "stats", "postings", "dictionary"))
+    whole = lambda t: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{t}/_SUCCESS"))
+    if not all(map(whole, ("config", "doc_table", "stats", "postings", "dictionary", "skip_blocks"))):
+        return False
+    return not json.loads(spark.read.text(f"{path}/config").first().value)["compression"] or whole("compressed")
 
 
 def load(spark: SparkSession, path: str) -> Index:

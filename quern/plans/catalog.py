@@ -11,8 +11,10 @@ from ..functions import codecs
 from ..functions.analysis import STOPWORDS, clean_text, elapsed, remove_stopwords, tokenize, tokens_of, truncated
 from ..functions.stemmer import stem, stem_sql
 from ..operators import index as ix
-from ..operators.evaluate import shown, trec_rows
+from ..operators.evaluate import shown, trec_rows, write_trec
 from ..operators.search import SearchOptions, by_bound, by_length, next_geq, query_terms, search, search_batch
+from ..sources import collections as sources
+from ..sources.dumps import dump_postings, read_dump
 from . import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,16 +86,12 @@ best AS (SELECT doc_id, round(sum({scorer}), 6) AS score FROM postings JOIN dict
 SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, doc_id::VARCHAR AS docno, score FROM best"""
 
 
-_QUERY_TEXT = "array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')"
-
-
 def _batch_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The first four words of every benchmark text."""
-    rows = spark.read.parquet(f"{sf}/benchmark.parquet")
-    return rows.select(F.col("item_id").cast("string").alias("qid"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, 4)).alias("query"))
+    """Every benchmark text, whole."""
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
 
 
-_BATCH_SQL = f"""{_base()}, asked AS (SELECT DISTINCT item_id::VARCHAR AS qid, unnest({_tokens_sql(_QUERY_TEXT)}) AS term FROM benchmark),
+_BATCH_SQL = f"""{_base()}, asked AS (SELECT DISTINCT item_id::VARCHAR AS qid, unnest({_tokens_sql('text')}) AS term FROM benchmark),
 scored AS (SELECT qid, doc_id, round(sum({_BM25}), 6) AS score FROM asked JOIN dictionary USING (term) JOIN postings USING (term), stats GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM scored)
 """
@@ -201,7 +199,13 @@ _add("search_dup_terms", _one(TWICE), _search_sql(TWICE))
 _add("search_sws_bm25", _one(STEMS, SWS), _search_sql(STEMS, sws=True))
 _add("search_sws_and_tfidf", _one(STEMS, SWS, mode="and", scorer="tfidf"), _search_sql(STEMS, _TFIDF, both=True, sws=True))
 _add("search_printed", lambda s, d: shown(search(_index(s, d), COMMON)), f"SELECT docno, printf('%.3f', score) AS score FROM ({_search_sql(COMMON)})")
-_add("search_heap_ties", _one(COMMON, scorer="tfidf", tie_compat=True), None)
+_HEAP_SQL = f"""{_base()}, wanted AS (SELECT DISTINCT unnest({_tokens_sql(repr(COMMON))}) AS term),
+scored AS (SELECT doc_id, round(sum({_TFIDF}), 6) AS score FROM postings JOIN dictionary USING (term) JOIN wanted USING (term), stats GROUP BY doc_id),
+low AS (SELECT min(score) AS low, count(*) AS n FROM (SELECT score FROM scored ORDER BY score DESC LIMIT 10)),
+reach AS (SELECT doc_id, score, n < 10 OR score > low AS above, row_number() OVER (ORDER BY doc_id) AS arrival FROM scored, low WHERE score >= low),
+seen AS (SELECT *, sum(above::INT) OVER () AS n_above, row_number() OVER (PARTITION BY above ORDER BY doc_id DESC) AS from_last FROM reach WHERE above OR arrival <= 10)
+SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, doc_id::VARCHAR AS docno, score FROM seen WHERE above OR from_last <= 10 - n_above"""
+_add("search_heap_ties", _one(COMMON, scorer="tfidf", tie_compat=True), _HEAP_SQL)
 _add("batch_trec_bm25", lambda s, d: trec_rows(_index(s, d), _batch_queries(s, d)), f"{_BATCH_SQL} SELECT qid, 'Q0' AS q0, doc_id::VARCHAR AS docno, rank, score, 'RUN-01' AS runid FROM best WHERE rank <= 10")
 _add("batch_maxscore_bm25", lambda s, d: search_batch(_index(s, d), _batch_queries(s, d), SearchOptions(strategy="maxscore")), f"{_BATCH_SQL} SELECT qid, rank, doc_id, doc_id::VARCHAR AS docno, score FROM best WHERE rank <= 10")
 _add(
@@ -215,7 +219,7 @@ def _ordered(s: SparkSession, d: str) -> DataFrame:
     return query_terms(_index(s, d), _batch_queries(s, d))
 
 
-_ASKED_SQL = f"{_base()}, asked AS (SELECT qid, t AS term, min(p) AS term_pos FROM (SELECT item_id::VARCHAR AS qid, unnest(toks) AS t, unnest(generate_series(1, len(toks))) AS p FROM (SELECT item_id, {_tokens_sql(_QUERY_TEXT)} AS toks FROM benchmark)) GROUP BY ALL)"
+_ASKED_SQL = f"{_base()}, asked AS (SELECT qid, t AS term, min(p) AS term_pos FROM (SELECT item_id::VARCHAR AS qid, unnest(toks) AS t, unnest(generate_series(1, len(toks))) AS p FROM (SELECT item_id, {_tokens_sql('text')} AS toks FROM benchmark)) GROUP BY ALL)"
 _add("list_order_df", lambda s, d: by_length(_ordered(s, d)).select("qid", "term", "df", "list_order"), f"{_ASKED_SQL} SELECT qid, term, df, row_number() OVER (PARTITION BY qid ORDER BY df, term_pos)::INT AS list_order FROM asked JOIN dictionary USING (term)")
 _add(
     "list_order_maxscore",
@@ -246,6 +250,48 @@ _add("codec_bytes_written", _written, _SIZE_SQL)
 _add("codec_roundtrip", lambda s, d: ix.decompressed(_index(s, d, SMALL).compressed), f"{_base()} SELECT term, doc_id, tf FROM postings")
 
 
+# ---- files: written to the shared folder and read back
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{workspace.shared_dir(spark)}/quern-files-{spark.sparkContext.applicationId}/{name}"
+
+
+def _source_tsv(s: SparkSession, d: str) -> DataFrame:
+    """Documents as lines of a collection, with blank lines and lines without a tab between them."""
+    rows = _docs(s, d).select(F.array(F.concat_ws("\t", F.concat(F.lit("D-"), "doc_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")), F.lit("  "), F.lit("no tab")).alias("l"))
+    rows.select(F.explode("l").alias("value")).write.mode("overwrite").text(_file(s, "tsv"))
+    return sources.read_tsv(s, _file(s, "tsv")).select("docno", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _source_queries(s: SparkSession, d: str) -> DataFrame:
+    _batch_queries(s, d).select(F.concat_ws("\t", "qid", F.regexp_replace("query", r"[\r\n\t]+", " ")).alias("value")).write.mode("overwrite").text(_file(s, "queries"))
+    return sources.read_queries(s, _file(s, "queries"))
+
+
+def _run_file(s: SparkSession, d: str) -> DataFrame:
+    write_trec(trec_rows(_index(s, d), _batch_queries(s, d)), _file(s, "run"), "overwrite", one_file=True)
+    parts = F.split("value", "\t")
+    return s.read.text(_file(s, "run")).select(*(parts[i].alias(c) for i, c in enumerate(("qid", "q0", "docno"))), parts[3].cast("int").alias("rank"), parts[4].cast("double").alias("score"), parts[5].alias("runid"))
+
+
+def _dump(s: SparkSession, d: str) -> DataFrame:
+    dump_postings(_index(s, d), "the", _file(s, "dump"))
+    return read_dump(s, _file(s, "dump"))
+
+
+def _flags(s: SparkSession, d: str) -> DataFrame:
+    configs = [_index(s, d, c).config for c in (ix.IndexConfig(), SMALL, SWS)]
+    return s.createDataFrame([(c.stopwords_and_stemming, c.compression, c.skip_threshold) for c in configs], "stopwords_and_stemming boolean, compression boolean, skip_threshold int")
+
+
+_add("source_tsv", _source_tsv, "SELECT 'D-' || doc_id AS docno, sha256(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')) AS text_sha256 FROM documents")
+_add("source_queries", _source_queries, "SELECT item_id::VARCHAR AS qid, regexp_replace(text, '[\r\n\t]+', ' ', 'g') AS query FROM benchmark")
+_add("run_file", _run_file, f"{_BATCH_SQL} SELECT qid, 'Q0' AS q0, doc_id::VARCHAR AS docno, rank, score, 'RUN-01' AS runid FROM best WHERE rank <= 10")
+_add("posting_dump", _dump, f"{_base()} SELECT doc_id, tf FROM postings WHERE term = 'the'")
+_add("index_flags", _flags, f"SELECT * FROM (VALUES (false, false, {ix.SKIP_THRESHOLD}), (false, true, 64), (true, false, {ix.SKIP_THRESHOLD})) v(stopwords_and_stemming, compression, skip_threshold)")
+
+
 def queries() -> dict[str, Query]:
     """Query name to a function of (spark, sf_dir)."""
     return {name: query for name, (query, _) in Q.items()}

@@ -105,13 +105,18 @@ def test_invariants(tables):
     assert back.exceptAll(postings.select("term", "doc_id", "tf")).count() == 0 == postings.select("term", "doc_id", "tf").exceptAll(back).count()
 
 
-def test_long_lists_are_numbered_across_chunks(spark, monkeypatch):
-    monkeypatch.setattr(ix, "CHUNK_IDS", 7)
-    ids = random.Random(1).sample(range(500), 90)
-    df = spark.createDataFrame([("a" if i % 3 else "b", i) for i in ids], "term string, doc_id long")
-    got = {(r.term, r.doc_id): r.at for r in ix.in_order(df, ["term"], "doc_id", "at").collect()}
+@pytest.mark.parametrize("spread_out", [1, 2**50])
+def test_long_lists_are_numbered_across_chunks(spark, monkeypatch, spread_out):
+    """Dense ids, and sparse ones as hashes give them; columns that clash with the helpers stay."""
+    monkeypatch.setattr(ix, "CHUNK_BITS", 3)
+    ids = [i * spread_out for i in random.Random(1).sample(range(-100, 400), 90)]
+    df = spark.createDataFrame([("a" if i // spread_out % 3 else "b", i, "x") for i in ids] + [("a", None, "x")], "term string, doc_id long, chunk string").withColumn("n", F.lit(1))
+    out = ix.in_order(df, ["term"], "doc_id", "at")
+    got = {(r.term, r.doc_id): r.at for r in out.collect()}
+    assert out.columns == ["term", "doc_id", "chunk", "n", "at"] and len(got) == 90
     for t in "ab":
-        assert [got[t, i] for i in sorted(i for i in ids if (i % 3 > 0) == (t == "a"))] == list(range(sum((i % 3 > 0) == (t == "a") for i in ids)))
+        assert [got[t, i] for i in sorted(i for i in ids if (i // spread_out % 3 > 0) == (t == "a"))] == list(range(sum((i // spread_out % 3 > 0) == (t == "a") for i in ids)))
+    assert ix.in_order(df.limit(0), ["term"], "doc_id", "at").count() == 0 and sorted(r.number for r in ix.numbered(df).collect()) == list(range(1, 91))
 
 
 def many_queries(spark, tables, n=60):
