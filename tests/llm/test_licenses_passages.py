@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quern.llm.licenses import PHRASES, TEMPLATES, Join, scan, stride_of, words_of
-from quern.llm.substrings import align, chain, packed_seeds, remove_passages, repeated_passages
+from quern.llm.substrings import align, chain, needed, remove_passages, repeated_passages
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -236,6 +236,26 @@ def test_fuzzy_passages_with_many_changes(spark, scratch):
     assert min(found[2:]) >= 36 and not any(i in got for i in range(0, n, 2))
 
 
+def test_needed_places_cover_the_same_words():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        rows = {(int(h), int(d), int(w)) for h, d, w in zip(rng.integers(0, 2, 40), rng.integers(0, 2, 40), rng.integers(0, 80, 40))}
+        t = np.array(sorted(rows, key=lambda r: (r[1], r[0], r[2])))
+        kept = needed(t, 9)
+        words = lambda x: {(h, d, w + i) for h, d, w in x.tolist() for i in range(9)}
+        assert words(kept) == words(t) and {tuple(r) for r in kept.tolist()} <= rows
+    dense = np.column_stack([np.zeros(1000), np.zeros(1000), np.arange(1000)]).astype(np.int64)
+    assert len(needed(dense, 50)) <= 22 and len(needed(dense[:0], 50)) == 0
+
+
+def test_runs_of_one_word(spark, scratch):
+    """Text that repeats itself word for word."""
+    rng = random.Random(14)
+    rows = [(1, " ".join(words(rng, 30, "a") + ["the"] * 70 + words(rng, 30, "b"))), (2, " ".join(words(rng, 30, "c") + ["the"] * 300 + words(rng, 30, "d") + ["the"] * 20))]
+    rows += [(3, " ".join(words(rng, 30, "e") + ["one", "two", "three"] * 30 + words(rng, 30, "f"))), (4, " ".join(words(rng, 30, "g") + ["one", "two", "three"] * 90))]
+    assert covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch)) == {2: 300, 4: 270}
+
+
 def test_passages_that_stand_twice_in_a_document(spark, scratch):
     rng = random.Random(12)
     shared = words(rng, 50, "p")
