@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quern.llm.licenses import PHRASES, TEMPLATES, Join, scan, stride_of, words_of
-from quern.llm.substrings import align, chain, needed, remove_passages, repeated_passages
+from quern.llm.substrings import PASSAGE, align, chain, needed, remove_passages, repeated_passages
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -274,3 +274,30 @@ def test_passages_with_partial_holders(spark, scratch):
             rows.append((n + i, " ".join(words(rng, 30, f"a{n + i}_") + part + words(rng, 30, f"b{n + i}_"))))
         want |= {n + 4: 60, n + 5: 55}
     assert covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch)) == want
+
+
+def test_cuts_against_a_plain_rule(spark, scratch):
+    """Overlapping, repeated and touching spans in texts of several scripts, with an extra column of a helper's name."""
+    r = random.Random(3)
+    docs, spans, want = [], [], {}
+    for i in range(300):
+        text = None if i % 37 == 0 else "".join(r.choice(["é", "ab", " ", "\n ", " ", "漢", "x", "\x0b", "　"]) for _ in range(r.randint(0, 60)))
+        raw = (text or "").encode()
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\v\f\r]+", raw)]
+        mine = []
+        for _ in range(r.randint(0, 4) if words else 0):
+            a = r.randrange(len(words))
+            mine.append((words[a][0], words[r.randrange(a, len(words))][1]))
+        docs.append((i, text, i % 5))
+        spans += [(i, a, b, 1, 0, 0, 0, 1) for a, b in mine]
+        gone = [False] * len(raw)
+        for a, b in mine:
+            while b < len(raw) and raw[b] in b" \t\n\v\f\r":
+                b += 1
+            gone[a:b] = [True] * (b - a)
+        left = bytes(c for c, g in zip(raw, gone) if not g).decode()
+        want[i] = text if not mine else left if left.split() else ""
+    docs = spark.createDataFrame(docs, "doc_id long, text string, cut_gaps int")
+    out = remove_passages(docs, spark.createDataFrame(spans, ", ".join(f"{c} long" for c in PASSAGE)), scratch)
+    assert out.columns == docs.columns
+    assert {x.doc_id: x.text for x in out.collect()} == want
