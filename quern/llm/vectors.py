@@ -31,7 +31,7 @@ WIDTH = 2.0
 PROJECTIONS = 16
 BLOCK = 2048
 TARGET = 1024
-SLAB = 1 << 19
+SLAB = 1 << 17
 
 
 def _phi(x: float) -> float:
@@ -69,30 +69,32 @@ def plan(rows: int, threshold: float, miss: float) -> tuple[int, int, float, int
 def _candidates(p: np.ndarray, window: float, least: int, split: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j that collide in at least `least` windows; with split > 0 only pairs across that row.
 
-    A pair collides once per projection at most, so counts are bytes, added up projection by projection and SLAB collisions at a time.
+    On a sorted projection a row's window is a range of places, so a pair collides where the place of one is in the range of the other.
+    A pair collides once per projection at most, so counts are bytes, added up projection by projection for SLAB pairs at a time.
     """
     n = len(p)
-    counts = np.zeros((split, n - split) if split else (n, n), np.uint8)
-    for c in p.T:
-        order = np.argsort(c)
-        s = c[order]
-        many = np.searchsorted(s, s + window, side="right") - np.arange(n) - 1
-        ends = np.cumsum(many)
-        at = 0
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, side="right")))
-            some = many[at:to]
-            left = np.repeat(np.arange(at, to), some)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some) + left + 1
-            i, j = order[left], order[right]
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            if split:
-                keep = (i < split) & (j >= split)
-                i, j = i[keep], j[keep] - split
-            counts[i, j] += 1
-            at = to
-    i, j = np.nonzero(counts >= max(least, 1))
-    return i, j + split
+    kind = np.uint16 if n < 1 << 16 else np.uint32
+    at, low, size = (np.empty((p.shape[1], n), kind) for _ in range(3))  # each row's place, where its window begins, and places in it
+    for c, line in enumerate(p.T):
+        order = np.argsort(line)
+        s = line[order]
+        ends = np.searchsorted(s, s + window, side="right")
+        begins = np.searchsorted(ends, np.arange(n), side="right")
+        at[c, order], low[c, order], size[c, order] = np.arange(n), begins, ends - begins
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, SLAB // max(n, 1))
+    for a in range(0, split or n, step):
+        rows, begin = slice(a, min(a + step, split or n)), split or a
+        counts = np.zeros((rows.stop - a, n - begin), np.uint8)
+        off, hit = np.empty(counts.shape, kind), np.empty(counts.shape, bool)
+        for c in range(len(at)):
+            np.subtract(at[c, None, begin:], low[c, rows, None], out=off)  # places before the window wrap round to large numbers
+            np.less(off, size[c, rows, None], out=hit)
+            counts += hit.view(np.uint8)
+        i, j = np.nonzero(counts >= max(least, 1))
+        i, j = i + a, j + begin
+        found.append((i, j) if split else (i[i < j], j[i < j]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, *, threshold: float = 0.95, miss: float = 1e-4, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

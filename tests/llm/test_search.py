@@ -122,3 +122,25 @@ def test_plan():
     rng = np.random.default_rng(0)
     hits = (np.abs(rng.normal(size=(200_000, 16)) * near) <= window).sum(1)
     assert (hits < least).mean() < 2e-4
+
+
+def test_candidates_cost():
+    """Work per pair stays small: a block of 4,096 rows in little CPU time and memory, its pairs the same as by comparing every window."""
+    import time
+    import tracemalloc
+
+    from quern.llm.vectors import _candidates
+
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(size=(2048, 16)) * 1.4] * 2) + 0.02 * rng.normal(size=(4096, 16))
+    began = time.process_time()
+    i, j = _candidates(p, 0.47, 9, 0)
+    assert time.process_time() - began < 1.5
+    got = np.zeros((4096, 4096), bool)
+    got[i, j] = True
+    near = sum((np.abs(c[:, None] - c[None, :]) <= 0.47).astype(np.uint8) for c in p.T)
+    assert (got == np.triu(near >= 9, 1)).all()
+    tracemalloc.start()
+    _candidates(p, 0.47, 16, 0)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
