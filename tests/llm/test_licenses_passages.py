@@ -301,3 +301,23 @@ def test_cuts_against_a_plain_rule(spark, scratch):
     out = remove_passages(docs, spark.createDataFrame(spans, ", ".join(f"{c} long" for c in PASSAGE)), scratch)
     assert out.columns == docs.columns
     assert {x.doc_id: x.text for x in out.collect()} == want
+
+
+def test_no_seed_is_left_out(spark, scratch):
+    """Every seed counts: passages with every sixth word changed, text that repeats itself after nine words, and runs of one word in longer runs are all found."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for i in range(0, 240, 2):
+        size = 60 + i % 3
+        if i % 4:
+            base = (words(rng, 9, f"r{i}_") * 7)[:size]
+            other = base
+        else:
+            base = words(rng, size, f"c{i}_")
+            other = [f"z{i}_{j}" if j % 6 == 5 and j < size - 1 else w for j, w in enumerate(base)]
+        rows += [(i, " ".join(words(rng, 40, f"a{i}_") + base + words(rng, 40, f"b{i}_"))), (i + 1, " ".join(words(rng, 40, f"d{i}_") + other + words(rng, 40, f"e{i}_")))]
+        want[i + 1] = size
+    rows += [(1000, " ".join(words(rng, 40, "m") + ["run"] * 60 + words(rng, 40, "n"))), (1001, " ".join(words(rng, 40, "o") + ["run"] * 333 + words(rng, 40, "p")))]
+    want[1001] = 333
+    got = covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch))
+    assert {i: got.get(i, 0) for i in want if got.get(i, 0) < want[i] - (5 if i < 1000 and i % 4 == 1 else 0)} == {}
