@@ -5,7 +5,9 @@ say which is preferred; the weights minimise the logistic loss of the score diff
 which is linear in the feature difference. The cut is a quantile of the training scores,
 and scores are put on 0 to 1 by the logistic function such that the cut lies at the given mark.
 
-The fit sees a bounded sample of labelled rows (max_rows); everything else covers all rows.
+Every labelled row takes part: rows are dealt to groups by a hash of their id, and within a group each label-1 document is
+compared with each label-0 one. Newton steps add up gradient and curvature of all these pairs over the cluster, and the
+cut comes from counts of all training scores. A caller may bound the rows (max_rows); the queries don't.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, map_batches, spread
+from .scratch import Scratch, map_batches, map_groups, spread
 from .textvec import Words, pieces_of
 
 FEATURES = [
@@ -180,16 +183,103 @@ def smallest(rows: DataFrame, h: Column, most: int, ties: list[str]) -> DataFram
     return ordered(near if near.limit(most).count() == most else rows)
 
 
+#: Rows of the rarer label in a group, as expected; each is compared with all rows of the other label there, worked off in blocks of BLOCK.
+GROUP, BLOCK = 64, 4096
+BINS = 1 << 14
+
+
+def _blocks(labelled: DataFrame, low: int, high: int, rare: int, scratch: Scratch, name: str) -> DataFrame:
+    """(good, bad): the feature rows of the groups as packed floats; rows of the commoner label are in one block each, those of the rarer one in all blocks of their group."""
+    cols = [f"f{j}" for j in range(len(FEATURES))]
+    groups = max(1, low // GROUP)
+    parts = -(-high // (groups * BLOCK))
+    h = F.xxhash64("doc_id", *cols)
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(groups))
+    part = F.when(F.col("quality") == rare, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.pmod(F.shiftrightunsigned(h, 20), F.lit(parts)).cast("int")))
+    dealt = labelled.select(group.alias("g"), F.explode(part).alias("part"), "quality", h.alias("h"), *cols)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", *cols], kind="stable")
+        return pd.DataFrame({n: [pdf.loc[pdf["quality"] == q, cols].to_numpy("<f4").tobytes()] for n, q in (("good", 1), ("bad", 0))})
+
+    return scratch.table(map_groups(scratch.spark, dealt.groupBy("g", "part"), pack, "good binary, bad binary"), f"{name}_blocks")
+
+
+def pair_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Over all pairs of a row of x and one of y: their number, gradient and curvature of the log-likelihood that x is preferred, in one flat array."""
+    m, s, t = len(w), x @ w, y @ w
+    grad, curve = np.zeros(m), np.zeros((m, m))
+    for at in range(0, len(x), 512):
+        u = x[at : at + 512]
+        p = 1 / (1 + np.exp(-np.clip(s[at : at + 512, None] - t[None, :], -30, 30)))
+        grad += (1 - p).sum(1) @ u - (1 - p).sum(0) @ y
+        p *= 1 - p
+        cross = u.T @ (p @ y)
+        curve += (u * p.sum(1)[:, None]).T @ u + (y * p.sum(0)[:, None]).T @ y - cross - cross.T
+    return np.concatenate([[len(x) * len(y)], grad, curve.ravel()])
+
+
+def fit_all(labelled: DataFrame, scratch: Scratch, *, l2: float = 1e-4, steps: int = 60, name: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(mean, scale, weights, cut) as fit() gives them, from a written table (doc_id, quality, f0 ..) of any size.
+
+    All pairs within the groups count alike; up to 2 * GROUP - 1 rows of the rarer label are one group, so all pairs there are. The cut is sought among the quantiles of
+    all scores, each taken to the next of BINS equal steps between the smallest and the largest score. The driver gets sums and counts only.
+    """
+    cols = [f"f{j}" for j in range(len(FEATURES))]
+    m = len(cols)
+    found = labelled.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0)), *(F.avg(c) for c in cols), *(F.stddev_pop(c) for c in cols)).first()
+    n, good, w = found[0], int(found[1]), np.zeros(m)
+    if not n:
+        return np.zeros(m), np.ones(m), w, -1.0
+    mean, scale = np.array(found[2 : 2 + m], float), np.maximum(np.array(found[2 + m :], float), 1e-6)
+    if good in (0, n):
+        return mean, scale, w, -1.0
+    blocks = _blocks(labelled, min(good, n - good), max(good, n - good), int(good <= n - good), scratch, name)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + m + m * m)
+            for batch in batches:
+                for pair in zip(*(c.to_pylist() for c in batch.columns)):
+                    total += pair_sums(*((np.frombuffer(raw, "<f4").reshape(-1, m).astype(float) - mean) / scale for raw in pair), w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        return sum(np.frombuffer(r.total) for r in map_batches(blocks, run, "total binary").collect())
+
+    for _ in range(steps):
+        total = sums(w)
+        grad = l2 * w - total[1 : 1 + m] / total[0]
+        move = np.linalg.solve(total[1 + m :].reshape(m, m) / total[0] + (l2 + 1e-6) * np.eye(m), grad)
+        w = w - move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
+        if np.abs(move).max() < 1e-4:
+            break
+    scored = labelled.select("quality", _linear(cols, mean, scale, w).alias("s"))
+    low, high = scored.agg(F.min("s"), F.max("s")).first()
+    width = max(high - low, 1e-12) / BINS
+    counted = scored.groupBy(F.least(F.floor((F.col("s") - low) / width), F.lit(BINS)).cast("int").alias("bin"), "quality").count().collect()
+    count = np.zeros((2, BINS + 1), np.int64)
+    for r in counted:
+        count[r.quality, r.bin] = r["count"]
+    below = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(count, 1)], 1)  # of either label, below the lower edge of each bin
+    edges = np.unique(np.searchsorted(below.sum(0), np.linspace(0, 1, 401) * n))
+    recall = 1 - below[1, edges] / good + below[0, edges] / (n - good)
+    return mean, scale, w, float(low + width * edges[int(recall.argmax())])
+
+
+def _linear(cols: list[str], mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> Column:
+    return sum(((F.col(c).cast("double") - float(m)) * float(k / s) for c, m, s, k in zip(cols, mean, scale, w)), F.lit(0.0))
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Is the crc32 of the id as text a multiple of `folds`? A null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, mark: float = 0.3, max_rows: int = 20_000, name: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, mark: float = 0.3, max_rows: int | None = None, name: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     labels: (doc_id, quality 0 or 1); rows with nulls or other values, ids with both labels and
-    held-out ids teach nothing. At most max_rows labelled rows are used, those of the smallest id hashes. Without
+    held-out ids teach nothing; all other labelled rows are learned from, with max_rows only so many of the smallest id hashes. Without
     labels of both kinds every score is above the mark. Null and empty texts get a score, too.
     Repeated rows come out as often; an empty table gives an empty result; further columns are not read.
     """
@@ -197,12 +287,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, mar
     cols = [f"f{j}" for j in range(len(FEATURES))]
     clear = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").select("doc_id", "quality")
     labelled = x.filter(~held_out(F.col("doc_id"))).join(clear, "doc_id")
-    train = smallest(labelled, F.xxhash64("doc_id"), max_rows, ["doc_id", *cols]).select("quality", *cols).toPandas()
-    if len(train):
-        mean, scale, w, cut = fit(train[cols].to_numpy(float), train["quality"].to_numpy())
+    if max_rows is None:
+        mean, scale, w, cut = fit_all(scratch.table(labelled.select("doc_id", F.col("quality").cast("int").alias("quality"), *cols), f"{name}_labelled"), scratch, name=name)
     else:
-        mean, scale, w, cut = np.zeros(len(cols)), np.ones(len(cols)), np.zeros(len(cols)), -1.0
-    raw = sum(((F.col(c).cast("double") - float(m)) * float(k / s) for c, m, s, k in zip(cols, mean, scale, w)), F.lit(0.0))
+        train = smallest(labelled, F.xxhash64("doc_id"), max_rows, ["doc_id", *cols]).select("quality", *cols).toPandas()
+        none = np.zeros(len(cols)), np.ones(len(cols)), np.zeros(len(cols)), -1.0
+        mean, scale, w, cut = fit(train[cols].to_numpy(float), train["quality"].to_numpy()) if len(train) else none
+    raw = _linear(cols, mean, scale, w)
     value = 1 / (1 + F.exp(-(raw - F.lit(cut)) + F.lit(float(np.log((1 - mark) / mark)))))
     out = x.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= mark).cast("int")).withColumnRenamed("doc_id", id_col)

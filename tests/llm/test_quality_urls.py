@@ -107,6 +107,42 @@ def test_scores_against_plain_python(spark, scratch):
         assert math.isclose(out[i].score, score, abs_tol=1e-4) and out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_all_labelled_rows_teach(spark, scratch, monkeypatch):
+    """Without a bound, weights and cut come from every pair of labelled rows; in several groups and blocks every row still counts once per partner."""
+    from quern.llm import quality
+
+    docs, labels = corpus(spark, 200)
+    rows = docs.filter("crc32(cast(doc_id as string)) % 5 <> 0").join(labels, "doc_id").orderBy("doc_id").collect()
+    x, y = features([r.text.encode() for r in rows]).astype(np.float32).astype(float), np.array([r.quality for r in rows])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = (x - mean) / scale
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        move = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + (1e-4 + 1e-6) * np.eye(len(w)), 1e-4 * w - ((1 - p)[:, None] * d).mean(0))
+        w -= move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
+        if np.abs(move).max() < 1e-4:
+            break
+    s = z @ w
+    out = {r.doc_id: r for r in score_documents(docs, labels, scratch, name="all").collect()}
+    logit = np.array([math.log(out[r.doc_id].score / (1 - out[r.doc_id].score)) for r in rows])
+    assert np.abs((logit - logit[0]) - (s - s[0])).max() < 1e-6
+    sharp = max(np.mean(s[y == 1] >= c) + np.mean(s[y == 0] < c) for c in np.append(s, np.inf))
+    said = np.array([out[r.doc_id].predicted for r in rows])
+    assert np.mean(said[y == 1]) + np.mean(1 - said[y == 0]) >= sharp - 0.02
+
+    table = scratch.table(spark.createDataFrame([(i, int(c), *map(float, v)) for i, (c, v) in enumerate(zip(y, x))], "doc_id long, quality int, " + ", ".join(f"f{j} float" for j in range(len(FEATURES)))), "dealt_in")
+    monkeypatch.setattr(quality, "GROUP", 20)
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    n_bad = int((y == 0).sum())
+    held = quality._blocks(table, n_bad, len(y) - n_bad, 0, scratch, "dealt").collect()
+    size = 4 * len(FEATURES)
+    assert len(held) > 2 and sum(len(r.good) for r in held) == size * int(y.sum()) and sum(len(r.bad) for r in held) >= size * n_bad
+    want = quality.pair_sums(z[y == 1], z[y == 0], w)
+    assert want[0] == len(d) and np.allclose(want[1 : 1 + len(w)], ((1 - p)[:, None] * d).sum(0), atol=1e-3)
+
+
 def test_smallest(spark):
     rows = spark.range(3000).repartition(7)
     for most in (10, 500, 2990, 5000):
