@@ -321,3 +321,19 @@ def test_no_seed_is_left_out(spark, scratch):
     want[1001] = 333
     got = covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch))
     assert {i: got.get(i, 0) for i in want if got.get(i, 0) < want[i] - (5 if i < 1000 and i % 4 == 1 else 0)} == {}
+
+
+@pytest.mark.parametrize("decoys", [0, 6])
+def test_passages_whose_holder_is_neither_first_nor_last(spark, scratch, decoys):
+    """Each seed of a changed passage stands in documents with a short piece of it before and after the one that has it in full; decoys have two runs of it side by side."""
+    rng = random.Random(41)
+    rows, want = [], {}
+    for n in range(0, 1000, 100):
+        p = words(rng, 60, f"p{n}_")
+        changed_one = [f"n{n}_{j}" if j % 9 == 8 else w for j, w in enumerate(p)]
+        phrases = [p[a : a + 9] for a in range(0, 56, 5)]
+        doubles = [[*p[a : a + 8], f"y{n}_{a}_{i}", *p[a + 9 : a + 17]] for a in range(0, 44, 9) for i in range(decoys)]
+        for i, part in enumerate([*phrases, *doubles, p, *phrases, changed_one]):
+            rows.append((n + i, " ".join(words(rng, 30, f"a{n + i}_") + part + words(rng, 30, f"b{n + i}_"))))
+        want[rows[-1][0]] = 60
+    assert covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch)) == want
