@@ -337,3 +337,39 @@ def test_passages_whose_holder_is_neither_first_nor_last(spark, scratch, decoys)
             rows.append((n + i, " ".join(words(rng, 30, f"a{n + i}_") + part + words(rng, 30, f"b{n + i}_"))))
         want[rows[-1][0]] = 60
     assert covered(rows, repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch)) == want
+
+
+def test_partners_part_on_both_sides():
+    """Of many documents with two seeds side by side only those are paired that differ both after the first and before the second; rows stay few where all words between are the same."""
+    import pyarrow as pa
+    from quern.llm.substrings import _partners, _useful
+
+    rng, rows = random.Random(7), []
+    for key in range(40):
+        for doc in range(60):
+            sides = (rng.choice([5, 5, 5, 6, 7]) << 32) | rng.choice([8, 8, 9]) if key % 2 else 5 << 32 | 8
+            rows.append((key, doc, sides, key, key + 7, [doc << 32 | doc] if doc % 3 else []))
+    columns = ["key", "doc", "sides", "p", "q"]
+    batch = pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(5)), pa.array([r[5] for r in rows], pa.list_(pa.int64()))], [*columns, "at"])
+    kept = pa.Table.from_batches(list(_useful(iter([batch.slice(0, 1000), batch.slice(1000)]))))
+    assert set(kept["key"].to_pylist()) == set(range(1, 40, 2)) and kept.num_rows == 20 * 60
+    live = [len(x) > 0 for x in kept["at"].to_pylist()]
+    asked = pa.Table.from_arrays([*(kept[c] for c in columns), pa.array(live)], [*columns, "live"]).combine_chunks().to_batches()
+    every = {(d, a, p, q) for k, d, x, _, _, at in rows for j, a, y, p, q, _ in rows if j == k and at and a < d and x >> 32 != y >> 32 and x & 0xFFFFFFFF != y & 0xFFFFFFFF}
+    got = [tuple(r.values()) for b in _partners(None)(iter(asked)) for r in b.to_pylist()]
+    assert set(got) == every and len(got) == len(every)
+    first = [tuple(r.values()) for b in _partners(4)(iter(asked)) for r in b.to_pylist()]
+    assert set(first) <= every and len(first) <= 20 * 60 * 8
+
+
+def test_places_shared_by_two_documents():
+    import pyarrow as pa
+    from quern.llm.substrings import _shared
+
+    h = lambda x: [v << 16 | 1 for v in x]
+    many = pa.list_(pa.int64())
+    names = ["doc", "at", "aat", "adoc", "bt", "bat", "places"]
+    values = [[5, 5], [[1, 2, 9], [1, 2]], [h([7, 8, 7]), h([7, 8])], [2, 3], [[0, 1, 2, 3, 90], [4, 5]], [h([7, 7, 7, 9, 7]), h([1, 8])], [[], []]]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, many if isinstance(v[0], list) else pa.int64()) for v in values], names)
+    got = sorted(tuple(r.values()) for b in _shared(iter([batch]), 29) for r in b.to_pylist())
+    assert got == [(5, 1, 2, 0, 0), (5, 1, 2, 2, 0), (5, 1, 2, 90, 0), (5, 2, 3, 5, 0), (5, 9, 2, 0, 0), (5, 9, 2, 2, 0), (5, 9, 2, 90, 0)]
